@@ -10,6 +10,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Every character that counts as white space at the ends of a value.
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
@@ -91,7 +92,7 @@ def _ranges(codes: list[int]) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decompose_arrow(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD")
 
