@@ -83,13 +83,16 @@ def group_evidence(
     ``known`` restricts kinds to the keys of a given table with a ``key`` column.
     """
     number = {kind.name: index for index, kind in enumerate(kinds)}
-    keys = keyed.select(
+    # Keys are computed in a projection of their own: compiled, where expressions inside
+    # the generator would be interpreted.
+    wide = keyed.select(
         F.col(row_id).alias("row_id"),
-        F.inline(F.array(*[
-            F.struct(F.lit(number[kind.name]).alias("kind"), kind.key.alias("key"))
-            for kind in kinds
-        ])),
-    ).filter(F.col("key").isNotNull())
+        *[kind.key.alias(f"key_{number[kind.name]}") for kind in kinds],
+    )
+    keys = wide.select("row_id", F.inline(F.array(*[
+        F.struct(F.lit(code).alias("kind"), F.col(f"key_{code}").alias("key"))
+        for code in number.values()
+    ]))).filter(F.col("key").isNotNull())
 
     groups = _groups(keys, kinds, number)
     for name, table in (known or {}).items():

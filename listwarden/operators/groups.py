@@ -32,17 +32,18 @@ def name_fingerprints(name: Column) -> dict[str, Column]:
     }
 
 
-def batch_columns(df: DataFrame, listings: Listings) -> dict[str, Column]:
+def batch_columns(listings: Listings) -> dict[str, Column]:
     """Submission day, and the reseller: its id, or its name if no row at all has an id."""
-    day = F.substring("date_added", 1, 10)
     reseller = F.col("reseller_id")
     if listings.has("reseller_id") and listings.has("reseller_name"):
-        any_id = df.agg(F.max(F.col("reseller_id") != "")).scalar()
+        # Asked of the whole input (one column of it), not of rows already selected.
+        cell = text.clean_cell(F.col(f"in_{listings.fields['reseller_id']}"))
+        any_id = listings.source.agg(F.max(cell != "")).scalar()
         reseller = F.when(any_id, reseller).otherwise(F.col("reseller_name"))
     elif listings.has("reseller_name"):
         reseller = F.col("reseller_name")
     return {
-        "batch_date": day,
+        "batch_date": F.substring("date_added", 1, 10),
         "batch_reseller": F.when(reseller == "", F.lit("UNKNOWN")).otherwise(reseller),
     }
 

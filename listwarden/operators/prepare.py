@@ -27,8 +27,8 @@ class Listings:
     table: DataFrame
     headers: tuple[str, ...]
     fields: dict[str, int]
-    #: Header of the caller's id column, or None if ids were generated.
-    id_header: str | None
+    #: The whole input, also when ``table`` has been joined or narrowed.
+    source: DataFrame
 
     @classmethod
     def of(cls, df: DataFrame, id_col: str | None = None) -> Listings:
@@ -39,7 +39,7 @@ class Listings:
             table = with_row_ids(table, ROW_ID)
         else:
             table = table.withColumn(ROW_ID, F.col(f"in_{headers.index(id_col)}"))
-        return cls(table, headers, resolve_fields(headers), id_col)
+        return cls(table, headers, resolve_fields(headers), table)
 
     def has(self, *fields: str) -> bool:
         return any(field in self.fields for field in fields)

@@ -330,20 +330,27 @@ def _description_too_short(cfg: RiskConfig) -> Outcome:
 
 def description_hits(cfg: RiskConfig) -> Column:
     """Repeated city and service words of a description, in catalog order."""
-    body, city = F.lower("any_description"), F.lower("city")
     services = [word for word in cfg.high_risk_industries if len(word) > 3]
     none = F.array().cast("array<string>")
-    city_count = text.count_substring(body, city)
-    city_hit = F.when(
-        (city != "") & (city_count >= 3),
-        F.array(_say("city '", city, "' ×", city_count.cast("string"))),
-    ).otherwise(none)
-    service_hits = F.filter(
-        F.array(*[F.lit(word) for word in services]),
-        lambda word: text.count_substring(body, word) >= 2,
-    ) if services else none
+    city = F.lower("city")
+
+    def repeats(body: Column, word: Column, times: int) -> Column:
+        # Most words are absent, and looking for one is cheaper than counting it.
+        return F.contains(body, word) & (text.count_substring(body, word) >= times)
+
+    def hits(body: Column) -> Column:
+        city_hit = F.when(
+            (city != "") & repeats(body, city, 3),
+            F.array(_say("city '", city, "' ×", text.count_substring(body, city).cast("string"))),
+        ).otherwise(none)
+        if not services:
+            return city_hit
+        words = F.array(*[F.lit(word) for word in services])
+        return F.concat(city_hit, F.filter(words, lambda word: repeats(body, word, 2)))
+
     return F.when(
-        F.length("any_description") >= MIN_DESCRIPTION, F.concat(city_hit, service_hits)
+        F.length("any_description") >= MIN_DESCRIPTION,
+        text.let(F.lower("any_description"), hits),
     ).otherwise(none)
 
 

@@ -8,7 +8,7 @@ and broadcast lookups of bounded tables.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,23 +114,24 @@ def flag_table(
     """
     listings = Listings.of(df, id_col)
     planned, evaluated = _evaluate(listings, cfg, references, options, flags=flags)
-    entries = [
-        F.when(F.col(_mark(rule)), F.struct(
+    entries = {
+        f"entry_{rule.order}": F.when(F.col(_mark(rule)), F.struct(
             F.lit(rule.order).alias("ord"),
             F.lit(rule.flag).alias("flag"),
             F.lit(rule.weight).alias("weight"),
             rule.detail.alias("detail"),
         ))
         for rule in planned
-    ]
+    }
     if not entries:
         schema = "array<struct<ord:int,flag:string,weight:int,detail:string>>"
         return evaluated.select(ROW_ID, F.inline(F.array().cast(schema)))
-    any_fired = F.greatest(F.lit(False), *[F.col(_mark(rule)) for rule in planned])
-    return (
-        evaluated.filter(any_fired)
-        .select(ROW_ID, F.inline(F.array(*entries)))
-        .filter(F.col("flag").isNotNull())
+    # Entries are computed in a projection of their own, where they are compiled. And the
+    # generated flag is filtered, not the predicates: those would be pushed down to the
+    # scan, and every costly expression evaluated a second time.
+    computed = evaluated.select(ROW_ID, *[entry.alias(name) for name, entry in entries.items()])
+    return computed.select(ROW_ID, F.inline(F.array(*entries))).filter(
+        F.col("flag").isNotNull()
     )
 
 
@@ -153,7 +154,7 @@ def prepared_listings(
     table = listings.table
     prepared = derive(table.select(*clean_fields(listings, table.columns)), cfg, full_nfkd)
     if "batch" in needs:
-        prepared = prepared.withColumns(batch_columns(prepared, listings))
+        prepared = prepared.withColumns(batch_columns(listings))
     hosts = {}
     if "site_domain" in needs:
         hosts["site_domain"] = F.col("host")
@@ -186,9 +187,7 @@ def _evaluate(
     planned = rules.plan_rules(cfg, listings, available, flags)
     needs = {need for rule in planned for need in rule.needs} | set(extra)
 
-    table = listings.table
     group_needs = needs & set(GROUP_NEEDS)
-    evidence = None
     if group_needs:
         for_keys = group_needs | ({"site_domain"} if "domain" in group_needs else set())
         keyed = prepared_listings(listings, cfg, references, for_keys, options.full_nfkd)
@@ -200,10 +199,10 @@ def _evaluate(
             row_id=ROW_ID,
             salt_rows=options.salt_rows,
         )
-        listings = Listings(
-            table.join(evidence, ROW_ID, "left"),
-            listings.headers, listings.fields, listings.id_header,
-        )
+        # Where only groups can fire, rows without evidence need not be read on.
+        groups_only = not extra and all(set(rule.needs) & set(GROUP_NEEDS) for rule in planned)
+        how = "inner" if groups_only else "left"
+        listings = replace(listings, table=listings.table.join(evidence, ROW_ID, how))
     rows = prepared_listings(listings, cfg, references, needs, options.full_nfkd)
     if "zip_dim" in needs:
         rows = with_zip_state(rows, F.col("zip5"), references.zip_dim, "zip_state")
