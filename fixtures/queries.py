@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +20,7 @@ from listwarden import (
 from listwarden.functions import contact, text
 from listwarden.operators.domains import with_registrable_domains
 from listwarden.operators.frequency import row_digest, value_frequency
-from listwarden.operators.groups import name_fingerprints
+from listwarden.operators.groups import GROUP_NEEDS, name_fingerprints
 from listwarden.operators.prepare import Listings, clean_fields, derive
 from listwarden.operators.row_ids import with_row_ids
 from listwarden.operators.rules import CATALOG, FLAGS
@@ -57,22 +55,16 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_listings(
-        fx.listings(spark, sf_dir), CFG, fx.references(spark, sf_dir), "row_id", OPTIONS
+        fx.stored_listings(spark, sf_dir), CFG, fx.references(spark, sf_dir), "row_id", OPTIONS
     )
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder (a temporary one in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lw-")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 # --- sources, fields, ids, sinks ----------------------------------------------------
 
 @query(on_listings(f"SELECT CAST(row_id AS VARCHAR) AS row_id, {oracle.COMPARED} FROM listings"))
 def csv_source(spark, sf_dir):
     """Listings written as CSV come back as strings, empty cells included."""
-    path = f"{_scratch(spark)}/listings.csv"
+    path = f"{fx.scratch(spark)}/listings.csv"
     fx.listings(spark, sf_dir).write.csv(
         path, header=True, quote='"', escape='"', emptyValue="", nullValue="\u0000",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
@@ -118,7 +110,7 @@ def score_table(spark, sf_dir):
 
 
 def _written(spark, sf_dir, table):
-    folder = _scratch(spark)
+    folder = fx.scratch(spark)
     write_results(_scored(spark, sf_dir).drop("description", "flag_details"), folder)
     return spark.read.parquet(f"{folder}/{table}")
 
@@ -186,7 +178,7 @@ def _with_work(select: str) -> str:
 
 def _lookups(spark, sf_dir):
     known = fx.rdi(spark, sf_dir).filter(F.col("rdi") == "Residential")
-    fetched = fx.listings(spark, sf_dir).filter(F.col("address") != "").select(
+    fetched = fx.stored_listings(spark, sf_dir).filter(F.col("address") != "").select(
         "address", F.when(F.length("address") % 3 != 0, F.lit("Commercial")).alias("rdi")
     )
     return known, fetched
@@ -196,7 +188,7 @@ def _lookups(spark, sf_dir):
 def rdi_worklist(spark, sf_dir):
     """High-risk addresses without an answer, with the place of their first row."""
     known, _ = _lookups(spark, sf_dir)
-    return residential.lookup_worklist(fx.listings(spark, sf_dir), CFG, known, "row_id")
+    return residential.lookup_worklist(fx.stored_listings(spark, sf_dir), CFG, known, "row_id")
 
 
 @query(_with_work("SELECT address, rdi FROM merged"))
@@ -210,7 +202,7 @@ def rdi_merge(spark, sf_dir):
 def rdi_for_batch(spark, sf_dir):
     """The answers a batch needs."""
     merged = residential.merge_lookups(*_lookups(spark, sf_dir))
-    return residential.lookups_for_batch(merged, fx.listings(spark, sf_dir), CFG, "row_id")
+    return residential.lookups_for_batch(merged, fx.stored_listings(spark, sf_dir), CFG, "row_id")
 
 
 # --- building blocks ------------------------------------------------------------------
@@ -219,7 +211,7 @@ def rdi_for_batch(spark, sf_dir):
 def clean_cells(spark, sf_dir):
     """Whole document texts, coated with white space that cleaning removes."""
     coated = F.concat(F.lit(" \t "), F.col("text"), F.lit("\n　\x0b"))
-    return fx.read(spark, sf_dir, "documents").select(
+    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
         "doc_id", text.clean_cell(coated).alias("cell")
     )
 
@@ -237,7 +229,7 @@ def _folded(column: str) -> str:
        " AS normalized FROM documents")
 def normalized_text(spark, sf_dir):
     """Whole document texts as plain words, accents split off."""
-    return fx.read(spark, sf_dir, "documents").select(
+    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
         "doc_id", text.normalize_text(F.col("text")).alias("normalized")
     )
 
@@ -267,7 +259,7 @@ def legal_suffixes(spark, sf_dir):
 @query("SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM documents")
 def phone_digits(spark, sf_dir):
     """Digits of whole document texts."""
-    return fx.read(spark, sf_dir, "documents").select(
+    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
         "doc_id", contact.digits_only(F.col("text")).alias("digits")
     )
 
@@ -291,7 +283,7 @@ FROM (SELECT page_id, {oracle._host('url')} AS host FROM pages)"""
 @query(_ALL_KINDS_SQL)
 def registrable_domains(spark, sf_dir):
     """Domains of page URLs under plain, wildcard and exception suffix rules."""
-    pages = fx.read(spark, sf_dir, "pages").select(
+    pages = fx.spread(fx.read(spark, sf_dir, "pages")).select(
         "page_id", contact.host_of(F.col("url")).alias("host")
     )
     suffixes = PublicSuffixes.from_rules(spark, fx.SUFFIXES_ALL_KINDS)
@@ -301,7 +293,7 @@ def registrable_domains(spark, sf_dir):
 @query(f"SELECT page_id, {oracle._host('url')} AS host FROM pages")
 def full_hosts(spark, sf_dir):
     """Hosts of page URLs."""
-    return fx.read(spark, sf_dir, "pages").select(
+    return fx.spread(fx.read(spark, sf_dir, "pages")).select(
         "page_id", contact.host_of(F.col("url")).alias("host")
     )
 
@@ -322,7 +314,7 @@ def keyword_matches(spark, sf_dir):
     """First hit and number of hits of a word list in whole document texts."""
     pattern = text.any_of(fx.PROSE_WORDS)
     return (
-        fx.read(spark, sf_dir, "documents")
+        fx.spread(fx.read(spark, sf_dir, "documents"))
         .select("doc_id", F.lower("text").alias("body"))
         .filter(F.col("body").rlike(pattern))
         .select("doc_id", F.regexp_extract("body", pattern, 0).alias("first"),
@@ -334,7 +326,7 @@ def keyword_matches(spark, sf_dir):
        "FROM documents")
 def substring_counts(spark, sf_dir):
     """Non-overlapping occurrences in whole document texts."""
-    return fx.read(spark, sf_dir, "documents").select(
+    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
         "doc_id", text.count_substring(F.col("text"), F.lit("ti")).cast("long").alias("hits")
     )
 
@@ -439,10 +431,12 @@ def _flag_query(flag: str) -> None:
     words = fx.PROSE_WORDS if flag == "DESCRIPTION_KEYWORD_STUFFED" else None
     cfg = fx.fixture_config(high_risk_industries=words) if words else CFG
 
+    source = fx.stored_listings if set(needs) & set(GROUP_NEEDS) else fx.listings
+
     def run(spark, sf_dir):
         references = fx.references(spark, sf_dir, *tables) if tables else fx.References()
         return flag_table(
-            fx.listings(spark, sf_dir), cfg, references, "row_id", OPTIONS, flags=[flag]
+            source(spark, sf_dir), cfg, references, "row_id", OPTIONS, flags=[flag]
         )
 
     run.__name__ = f"flag_{flag.lower()}"
@@ -459,7 +453,8 @@ for _flag in FLAGS:
 def duplicate_of_row(spark, sf_dir):
     """Rows that repeat an earlier one, with all rules but this switched off."""
     cfg = CFG.replace(disabled_rules={rule.disable_key for rule in CATALOG} - {None})
-    scored = score_listings(fx.listings(spark, sf_dir), cfg, id_col="row_id", options=OPTIONS)
+    listings = fx.stored_listings(spark, sf_dir)
+    scored = score_listings(listings, cfg, id_col="row_id", options=OPTIONS)
     return scored.filter("is_duplicate_of_row <> ''").select("row_id", "is_duplicate_of_row")
 
 
@@ -467,7 +462,7 @@ def duplicate_of_row(spark, sf_dir):
 def flags_long(spark, sf_dir):
     """Every fired flag as a row."""
     return flag_table(
-        fx.listings(spark, sf_dir), CFG, fx.references(spark, sf_dir), "row_id", OPTIONS
+        fx.stored_listings(spark, sf_dir), CFG, fx.references(spark, sf_dir), "row_id", OPTIONS
     )
 
 

@@ -56,7 +56,8 @@ def normalize_text(value: Column, full_nfkd: bool = False) -> Column:
 def decompose(text: Column) -> Column:
     """Base characters, each followed by a blank where an accent was split off."""
     accented, plain_from, plain_to = _decompositions()
-    spread = F.regexp_replace(text, f"([{accented}])", "$1 ")
+    # The look-ahead spares ASCII characters the walk through all ranges.
+    spread = F.regexp_replace(text, rf"(?=[^\x00-\x7F])([{accented}])", "$1 ")
     folded = F.translate(spread, plain_from, plain_to)
     is_ascii = F.octet_length(text) == F.length(text)
     return F.when(is_ascii, text).otherwise(folded)
