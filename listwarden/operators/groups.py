@@ -18,9 +18,9 @@ GROUP_NEEDS = ("address", "phone", "domain", "email", "owner", "batch", "copy",
 
 def name_fingerprints(name: Column) -> dict[str, Column]:
     """Keys of which any shared one makes two names near-duplicates, strongest first."""
-    words = F.array_sort(F.array_distinct(F.split(name, r"\s+")))
+    words = F.sort_array(F.array_distinct(F.split(name, r"\s+")))
     size = F.length(name)
-    trigrams = F.array_sort(F.array_distinct(F.transform(
+    trigrams = F.sort_array(F.array_distinct(F.transform(
         F.sequence(F.lit(1), size - 2), lambda at: F.call_function("substring", name, at, F.lit(3))
     )))
     return {

@@ -384,12 +384,12 @@ def _most_repeated(words: Column) -> Column:
     Sorting brings equal words together, so no word is compared with every other.
     """
     repeated = text.let(
-        F.array_sort(words),
+        F.sort_array(words),
         lambda ordered: F.array_distinct(
             F.filter(ordered, lambda word, at: word == F.get(ordered, at + 2))
         ),
     )
-    ranked = F.array_sort(F.transform(repeated, lambda word: F.struct(
+    ranked = F.sort_array(F.transform(repeated, lambda word: F.struct(
         (-F.size(F.filter(words, lambda other: other == word))).alias("rank"),
         F.array_position(words, word).alias("position"),
         word.alias("word"),
