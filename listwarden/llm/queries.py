@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.llm import exact_dedup, language_id, pii
+from listwarden.llm import exact_dedup, language_id, minhash, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +75,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     outside = language_id.held_out(F.col("doc_id"))
     dictionaries = language_id.learn(docs.filter(~outside))
     return language_id.predict(docs.select("doc_id", outside.alias("held_out"), "text"), dictionaries).drop("text")
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(documents(spark, sf_dir), packing.default_tokenizer("word_bpe_49k.json"))
+    return packing.pack(pieces)
