@@ -10,7 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.llm import exact_dedup, language_id, minhash, packing, pii
+from listwarden.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    license_scan,
+    minhash,
+    packing,
+    pii,
+    substring_dedup,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +97,37 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), packing.default_tokenizer("word_bpe_49k.json"))
     return packing.pack(pieces)
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(documents(spark, sf_dir))
+    best = F.try_element_at("licenses", F.lit(1))
+    return found.select(
+        "doc_id", best.license.alias("license"), best.dice.alias("dice"), best.first_word.alias("first_word"),
+        F.array_join("licenses.license", ",").alias("all_licenses"))
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), packing.default_tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = packing.default_tokenizer("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
