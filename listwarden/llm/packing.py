@@ -14,6 +14,7 @@ Spark then ranks the pieces of each length and looks up the place of each rank.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,8 @@ NEAR_BEST = 0.03
 #: Pieces of one length are ranked in as many independent groups.
 SHARDS = 256
 #: Words whose ids a worker keeps; the store is emptied when full.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 48
+KEPT_WORDS, KEPT_LENGTH = 600_000, 48
+_UNIT_ENDS = re.compile(rb"(?<=[a-z0-9])(?=[,.!?;:&%$#*|\"()])")
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -42,8 +44,9 @@ Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 class _Encoder:
     """Ids of texts as little-endian 32-bit numbers, by the tokenizers library.
 
-    The tokenizer drops white space and never looks across it, so each distinct word is encoded
-    once and its ids are reused.
+    The tokenizer ignores case, drops white space, never looks across it, and always starts a new
+    unit where punctuation follows a letter or digit. So each distinct word, without the
+    punctuation behind it, is encoded once and its ids are reused.
     """
 
     def __init__(self, path: str):
@@ -53,20 +56,19 @@ class _Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > KEPT_WORDS:
+        # special tokens are matched before case and units, so texts that may hold one stay as they are
+        split = [t.split() if b"<|" in t else _UNIT_ENDS.sub(b" ", t.lower()).split() for t in texts]
+        if len(self.known) > KEPT_WORDS:
             self.known.clear()
-            fresh = {w for words in split for w in words}
         found = self.known
-        if fresh:
-            fresh = list(fresh)
-            codes = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-            new = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(fresh, codes, strict=True)}
-            if len(self.known) + len(new) <= KEPT_WORDS:
-                self.known.update((w, c) for w, c in new.items() if len(w) <= KEPT_LENGTH)
-            found = self.known if len(self.known) >= len(new) and all(w in self.known for w in new) else {**self.known, **new}
-        return [b"".join([found[w] for w in words]) for words in split]
+        fresh = list({w for words in split for w in words if w not in found})
+        codes = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+        found.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(fresh, codes, strict=True))
+        out = [b"".join([found[w] for w in words]) for words in split]
+        for w in fresh:
+            if len(w) > KEPT_LENGTH:
+                del found[w]
+        return out
 
 
 @lru_cache(maxsize=2)
