@@ -30,6 +30,8 @@ from listwarden.llm.storage import stored
 from listwarden.llm.words import mix, ngrams, signed, slices, split_words
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
+#: Documents of a block of a bucket.
+BLOCK = 64
 _U = np.uint64
 #: Odd multipliers that tell hash streams apart.
 _STEP, _STRIP, _PLACE, _HEIGHT = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7), _U(0xAEF17502108EF2D9)
@@ -141,7 +143,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts have a weighted Jaccard similarity of 0.8 or more."""
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long")
+    return pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,8 +156,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with equal multisets are one class from the start, so copies are never compared.
     In a bucket of a band every document is compared with the smallest one of the bucket only;
-    after that, the pairs of a bucket that these links have not joined are compared too, so no link
-    between different texts is lost, and a large group of near copies costs one pair per member.
+    after that, buckets that these links have not joined into one component are compared in full, in
+    blocks inside tasks, so no link between different texts is lost and no row is made for a pair.
     """
     described = docs.select("doc_id", "text").mapInArrow(
         _describe, "doc_id long, bag_a long, bag_b long, size long, bands array<long>")
@@ -170,22 +172,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stored(
         buckets.join(leaders, ["band", "value"]).filter(f"doc_id <> leader.doc_id AND {similar}")
         .select(F.col("doc_id").alias("a"), F.col("leader.doc_id").alias("b")).distinct())
-    texts = stored(_texts_of(stars, docs))
+    texts = stored(_texts_of(stars.select(F.explode(F.array("a", "b")).alias("doc_id")), docs))
     links = stored(_verified(stars, texts))
     labels = components(links)
 
-    # pairs of one bucket that the stars left apart
-    crowded = buckets.join(leaders.select("band", "value"), ["band", "value"]).join(labels, F.col("doc_id") == F.col("id"), "left")
-    crowded = crowded.select("band", "value", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
+    # buckets that the stars left in several components
+    crowded = buckets.join(leaders.select("band", "value", "n"), ["band", "value"]).join(labels, F.col("doc_id") == F.col("id"), "left")
+    crowded = crowded.select("band", "value", "n", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = crowded.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     apart = stored(crowded.join(mixed.select("band", "value"), ["band", "value"]))
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, ["band", "value"]).filter(
-        "x.label <> y.label AND x.doc_id > y.doc_id AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)"
-    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = stored(_verified(rest, stored(_texts_of(rest, docs))))
+    if not apart.isEmpty():
+        more = stored(_linked_in_blocks(apart, members, docs))
         if not more.isEmpty():
             labels = components(links.union(more))
     named = members.select("doc_id", "copy_of").join(labels, F.col("copy_of") == F.col("id"), "left").select(
@@ -195,9 +192,72 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+
+
+def _linked_in_blocks(apart: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that share a bucket: rows (a, b), a forest for each pair of blocks.
+
+    A bucket is dealt into blocks of about BLOCK documents; a task compares two blocks, so no row is
+    made for a pair and no task holds a bucket. A pair is compared in the first band it shares only.
+    """
+    ids = apart.select("doc_id")
+    wide = apart.join(members.filter("doc_id = copy_of").select("doc_id", "bands"), "doc_id").join(_texts_of(ids, docs), "doc_id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = wide.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(
+        "band", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "doc_id", "label", "bands", "text")
+    return dealt.groupBy("band", "value", "low", "high").applyInArrow(_link_blocks, "a long, b long")
+
+
+def _link_blocks(rows: pa.Table) -> pa.Table:
+    band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
+    ids, labels, block = (rows.column(c).to_numpy() for c in ("doc_id", "label", "block"))
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), BANDS)[:, :band]
+    owner, hashes, weights = bags(rows.column("text").combine_chunks())
+    shared = _shared(owner, hashes, weights, len(rows))
+    size = _sums(owner, weights.astype(np.int64), len(rows))
+    near = 5 * shared >= 4 * (size[:, None] + size[None, :] - shared)
+    near &= np.tri(len(rows), k=-1, dtype=bool)
+    if low < high:
+        near &= block[:, None] != block[None, :]
+    parent = {int(x): int(x) for x in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        if (bands[i] == bands[j]).any():
+            continue
+        x, y = root(int(labels[i])), root(int(labels[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _shared(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
+    """Sums of smaller multiplicities for all pairs of a few texts."""
+    copies = np.repeat(np.arange(len(owner)), weights)
+    turn = np.arange(len(copies)) - np.repeat(np.cumsum(weights) - weights, weights)
+    _, key, seen = np.unique(mix(hashes[copies] + turn.astype(_U) * _STEP), return_inverse=True, return_counts=True)
+    common = seen[key] > 1  # what only one text has is shared with none
+    _, key = np.unique(key[common], return_inverse=True)
+    who = owner[copies][common]
+    out = np.zeros((texts, texts), np.int64)
+    for start in range(0, int(key.max()) + 1 if len(key) else 0, 20_000):
+        part = (key >= start) & (key < start + 20_000)
+        table = np.zeros((texts, 20_000), np.float32)
+        table[who[part], key[part] - start] = 1
+        out += np.rint(table @ table.T).astype(np.int64)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
