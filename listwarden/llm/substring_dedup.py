@@ -83,7 +83,7 @@ def _batch(p: dict[str, np.ndarray], kind: np.ndarray) -> pa.RecordBatch:
 
 def _find_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 12_000_000):
+        for part in slices(batch, "text", 6_000_000):
             p = _paths(split_words(part.column("text")), part.column("doc_id").to_numpy())
             yield _batch(p, _settled(p))
 
