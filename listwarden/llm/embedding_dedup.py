@@ -25,7 +25,7 @@ from listwarden.llm.storage import stored
 
 THRESHOLD = 0.98
 #: Sampled pivots of each vector length, nearest pivots kept, vectors of a block.
-PIVOTS, NEAREST, BLOCK = 128, 6, 512
+PIVOTS, NEAREST, BLOCK = 128, 7, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -37,17 +37,29 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def pivots(vectors: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Per vector length, unit vectors of the `most` rows of smallest hash; at most 64 lengths."""
+    """Per vector length, unit vectors of `most` pivots; of the 64 most frequent lengths.
+
+    They are picked from the 4 * `most` rows of smallest hash, each the one farthest from those
+    before, so that a dense group does not fill them: its order of nearest pivots would be random.
+    """
     hashed = vectors.select("embedding", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("hash"))
     sizes = hashed.groupBy("dim").agg(F.countDistinct("hash").alias("n")).orderBy(F.desc("n")).limit(64).collect()
     out = {}
     for row in sizes:
-        sample = hashed.filter(F.col("dim") == row.dim).dropDuplicates(["hash"]).orderBy("hash").limit(most).collect()
-        points = np.array([r.embedding for r in sample], np.float64)
-        out[row.dim] = points / np.linalg.norm(points, axis=1, keepdims=True)
+        sample = hashed.filter(F.col("dim") == row.dim).dropDuplicates(["hash"]).orderBy("hash").limit(4 * most).collect()
+        out[row.dim] = _apart(_unit(np.array([r.embedding for r in sample], np.float64)), most)
     return out
 
 
+def _apart(points: np.ndarray, most: int) -> np.ndarray:
+    chosen = [0]
+    nearest = points @ points[0]
+    while len(chosen) < min(most, len(points)):
+        chosen.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, points @ points[chosen[-1]])
+    return points[chosen]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)

@@ -35,23 +35,28 @@ def mark_copies(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     Of equal texts the row with the most code points in the original stays, then the smallest
     doc_id (null last). Null text counts as empty; empty texts equal each other. Rows that repeat
     in every column, doc_id included, are a group like any other: one row stays. Columns other than
-    doc_id and text may have any name; an empty table gives an empty table.
+    doc_id and text may have any name, but one named `dedup` is replaced; an empty table gives an
+    empty table.
     """
+    names = [c for c in docs.columns if c != "dedup"]
+    return _marked(docs, hot_rows).select(*[F.col(f"doc.`{c}`") for c in names], "dedup")
+
+
+def _marked(docs: DataFrame, hot_rows: int) -> DataFrame:
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
     rows = rows.withColumn("hash", F.xxhash64(normalised(F.col("doc.text"))))
     counts = rows.groupBy("hash").count()
-    total = counts.agg(F.sum("count").alias("total"))
+    total = counts.select(F.sum("count")).scalar()
     # at most HOT_SHARE keys: each holds more than 1 / HOT_SHARE of the rows
     hot = [
-        r.hash for r in counts.filter(F.col("count") > hot_rows).crossJoin(F.broadcast(total))
-        .filter(F.col("count") > F.col("total") / HOT_SHARE).select("hash").collect()
+        r.hash for r in counts.filter((F.col("count") > hot_rows) & (F.col("count") > total / HOT_SHARE)).select("hash").collect()
     ]
     cold = rows.filter(~F.col("hash").isin(hot)) if hot else rows
     marked = _sorted_copies(cold)
     if hot:
         marked = marked.unionByName(_summed_copies(rows.filter(F.col("hash").isin(hot))))
-    return marked.select("doc.*", "dedup")
+    return marked
 
 
 def _digest(norm: Column) -> Column:
@@ -103,5 +108,4 @@ def _summed_copies(rows: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    marked = mark_copies(docs, hot_rows)
-    return marked.filter("dedup.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _marked(docs, hot_rows).filter("dedup.kept").select("doc.*")
