@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
@@ -132,8 +131,8 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder (a temporary one in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lw-")
+    """A fresh folder below the shared checkpoint folder, or else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root}/{uuid.uuid4().hex}"
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a join task should get at most.
 SALT_ROWS = 250_000
-#: Keys that may be salted. A key outside the top 10,000 holds under 1/10,000 of the rows.
-MAX_HOT_KEYS = 10_000
+#: A key with at most this share of all key rows is never salted, so fewer keys than this can be.
+HOT_SHARE = 100_000
 
 
 @dataclass(frozen=True)
@@ -147,11 +147,14 @@ def _salts(salt_rows: int) -> Column:
 
 
 def _hot_keys(groups: DataFrame, salt_rows: int) -> DataFrame:
-    """Keys with more rows than one task should get: at most MAX_HOT_KEYS, so broadcast."""
+    """Every key with more rows than one task should get.
+
+    Each also holds more than 1 / HOT_SHARE of the rows of all groups, so there are fewer than
+    HOT_SHARE of them by arithmetic, and they are broadcast.
+    """
+    total = groups.select(F.sum("n")).scalar()
     return (
-        groups.filter(F.col("n") > salt_rows)
-        .orderBy(F.desc("n"), "first_id", "kind")
-        .limit(MAX_HOT_KEYS)
+        groups.filter((F.col("n") > salt_rows) & (F.col("n") > total / HOT_SHARE))
         .select("kind", "key", _salts(salt_rows).alias("salts"))
     )
 

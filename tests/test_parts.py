@@ -17,6 +17,8 @@ from listwarden import (
 )
 from listwarden.fields import FIELD_ALIASES, normalize_header, resolve_fields
 from listwarden.functions import text
+from listwarden.operators.frequency import _hot_keys
+from listwarden.operators.reference import with_zip_state
 from listwarden.operators.row_ids import with_row_ids
 from listwarden.plans import reports, residential
 from listwarden.streaming.local import ROW_LOCAL_FLAGS, stream_flags
@@ -141,3 +143,27 @@ def test_row_local_rules_on_a_stream(spark, tmp_path):
     assert query.awaitTermination(120)
     found = {row.flag for row in spark.table("stream_flags").collect()}
     assert "PO_BOX" in found and found <= set(ROW_LOCAL_FLAGS)
+
+
+def test_csv_keeps_blanks_and_short_rows_and_raises_on_surplus_fields(spark, tmp_path):
+    good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
+    good.write_text('name,phone,city\n  A  ,1,x\nB,2\n"C, D",,\n')
+    bad.write_text("name,phone\nA,1,EXTRA\n")
+    rows = [tuple(r) for r in read_listings(spark, str(good)).collect()]
+    assert rows == [("  A  ", "1", "x"), ("B", "2", ""), ("C, D", "", "")]
+    with pytest.raises(Exception, match="more fields than headers"):
+        read_listings(spark, str(bad)).select("name").collect()
+
+
+def test_every_hot_key_is_split(spark):
+    groups = spark.range(20_000).select(
+        F.lit(1).alias("kind"), F.col("id").cast("string").cast("binary").alias("key"),
+        F.lit(7).cast("long").alias("n"), F.col("id").alias("first_id"))
+    assert _hot_keys(groups, 2).count() == 20_000
+
+
+def test_reference_keys_of_any_form_match(spark):
+    listings = spark.createDataFrame([("12345-6789",), ("1",)], "zip string")
+    table = spark.createDataFrame([("12345-6789", "ny")], "zip string, state_code string")
+    out = with_zip_state(listings, F.col("zip"), table, "state").collect()
+    assert {r.zip: r.state for r in out} == {"12345-6789": "NY", "1": None}
