@@ -101,10 +101,15 @@ def group_evidence(
     hot = _hot_keys(groups, salt_rows)
     named = [number[kind.name] for kind in kinds if kind.first_name]
     if named:
+        # Only groups of these kinds are shuffled to meet their names. The kind is asked for
+        # as an aggregate, so that both parts read the same counts instead of counting twice.
         # Every first_id is a row of the table, so an inner join loses nothing, and it
         # lets the smaller side be broadcast.
         names = keyed.select(F.col(row_id).alias("first_id"), first_name.alias("first_name"))
-        groups = groups.join(names, "first_id")
+        is_named = F.col("counted_kind").isin(named)
+        groups = groups.filter(is_named).join(names, "first_id").unionByName(
+            groups.filter(~is_named).withColumn("first_name", F.lit(None).cast("string")))
+    groups = groups.drop("counted_kind")
 
     members = _join_back(keys, groups, hot, salt_rows)
     evidence = []
@@ -126,7 +131,8 @@ def _groups(keys: DataFrame, kinds: Sequence[Kind], number: Mapping[str, int]) -
         threshold = F.when(F.col("kind") == number[kind.name], kind.threshold).otherwise(threshold)
     return (
         keys.groupBy("kind", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_id"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_id"),
+             F.max("kind").alias("counted_kind"))
         .filter(F.col("n") >= threshold)
     )
 

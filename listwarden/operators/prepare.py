@@ -29,6 +29,8 @@ class Listings:
     fields: dict[str, int]
     #: The whole input, also when ``table`` has been joined or narrowed.
     source: DataFrame
+    #: The ids are those of an input column, not generated.
+    given_ids: bool = False
 
     @classmethod
     def of(cls, df: DataFrame, id_col: str | None = None) -> Listings:
@@ -39,7 +41,7 @@ class Listings:
             table = with_row_ids(table, ROW_ID)
         else:
             table = table.withColumn(ROW_ID, F.col(f"in_{headers.index(id_col)}"))
-        return cls(table, headers, resolve_fields(headers), table)
+        return cls(table, headers, resolve_fields(headers), table, id_col is not None)
 
     def has(self, *fields: str) -> bool:
         return any(field in self.fields for field in fields)

@@ -381,20 +381,29 @@ def keyword_terms(cfg: RiskConfig, full_nfkd: bool = False) -> Column:
 def _most_repeated(words: Column) -> Column:
     """The three most frequent words of those that occur three times, ties by first seen.
 
-    Sorting brings equal words together, so no word is compared with every other.
+    Words are sorted together with their positions. Equal words then form runs: a run starts
+    with the first position of its word, and its length is the distance to the next start.
     """
-    repeated = text.let(
-        F.sort_array(words),
-        lambda ordered: F.array_distinct(
-            F.filter(ordered, lambda word, at: word == F.get(ordered, at + 2))
-        ),
-    )
-    ranked = F.sort_array(F.transform(repeated, lambda word: F.struct(
-        (-F.size(F.filter(words, lambda other: other == word))).alias("rank"),
-        F.array_position(words, word).alias("position"),
-        word.alias("word"),
-    )))
-    return F.slice(ranked, 1, 3)
+    def runs(ordered: Column) -> Column:
+        def ranked(starts: Column) -> Column:
+            return F.transform(starts, lambda start, number: F.struct(
+                (start["at"] - F.coalesce(F.get(starts, number + 1)["at"], F.size(ordered)))
+                .alias("rank"),
+                start["position"].alias("position"),
+                start["word"].alias("word"),
+            ))
+
+        marked = F.transform(ordered, lambda entry, at: F.when(
+            ~entry["word"].eqNullSafe(F.get(ordered, at - 1)["word"]),
+            F.struct(at.alias("at"), entry["position"].alias("position"),
+                     entry["word"].alias("word")),
+        ))
+        return text.let(F.filter(marked, lambda start: start.isNotNull()), ranked)
+
+    placed = F.transform(
+        words, lambda word, at: F.struct(word.alias("word"), at.alias("position")))
+    counted = text.let(F.sort_array(placed), runs)
+    return F.slice(F.sort_array(F.filter(counted, lambda run: run["rank"] <= -3)), 1, 3)
 
 
 def _keyword_field_stuffed(cfg: RiskConfig) -> Outcome:

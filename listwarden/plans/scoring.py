@@ -1,14 +1,15 @@
 """Scoring of a whole table of listings.
 
-One lazy plan: narrow keys are counted and joined back as per-row evidence, evidence
-meets the listings in one join on the row id, and everything else is column expressions
-and broadcast lookups of bounded tables.
+One lazy plan: narrow keys are counted and joined back as per-row evidence. Rules that need
+no other row are judged on the scan; which of them fired travels as the bits of one number.
+Only what the output asks for meets the evidence in the one join on the row id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,9 @@ class Options:
     full_nfkd: bool = False
     #: Rows of one key that a join task should get at most.
     salt_rows: int = SALT_ROWS
+    #: Raise if ``id_col`` repeats a value (one aggregate over that column alone, before
+    #: the plan is built); rules over several rows would mix up the listings.
+    check_ids: bool = True
 
 
 def score_listings(
@@ -82,7 +86,7 @@ def score_listings(
     )
     flags = [F.when(mark, F.lit(rule.flag)) for mark, rule in zip(fired, planned)]
     details = [
-        F.when(mark, F.concat(F.lit(f"{rule.flag}: "), rule.detail))
+        F.when(mark, F.concat(F.lit(f"{rule.flag}: "), F.col(_detail(rule))))
         for mark, rule in zip(fired, planned)
     ]
     first = F.col("copy_first")
@@ -110,22 +114,34 @@ def flag_table(
 ) -> DataFrame:
     """One row per listing and fired flag: ``row_id, ord, flag, weight, detail``.
 
-    With ``flags``, only those rules are planned, with just the joins they need.
+    With ``flags``, only those rules are planned, with just the joins they need. Flags that
+    need no other row come straight from the scan; the others from the rows with evidence.
     """
     listings = Listings.of(df, id_col)
-    planned, evaluated = _evaluate(listings, cfg, references, options, flags=flags)
+    wanted = rules.FLAGS if flags is None else tuple(flags)
+    over_groups = {rule.flag for rule in rules.CATALOG if _over_groups(rule)}
+    parts = []
+    for chosen in ([f for f in wanted if f not in over_groups],
+                   [f for f in wanted if f in over_groups]):
+        planned, evaluated = _evaluate(listings, cfg, references, options, flags=chosen)
+        if planned:
+            parts.append(_fired_flags(planned, evaluated))
+    if not parts:
+        schema = "array<struct<ord:int,flag:string,weight:int,detail:string>>"
+        return listings.table.select(ROW_ID, F.inline(F.array().cast(schema)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fired_flags(planned: Sequence[rules.PlannedRule], evaluated: DataFrame) -> DataFrame:
     entries = {
         f"entry_{rule.order}": F.when(F.col(_mark(rule)), F.struct(
             F.lit(rule.order).alias("ord"),
             F.lit(rule.flag).alias("flag"),
             F.lit(rule.weight).alias("weight"),
-            rule.detail.alias("detail"),
+            F.col(_detail(rule)).alias("detail"),
         ))
         for rule in planned
     }
-    if not entries:
-        schema = "array<struct<ord:int,flag:string,weight:int,detail:string>>"
-        return evaluated.select(ROW_ID, F.inline(F.array().cast(schema)))
     # Entries are computed in a projection of their own, where they are compiled. And the
     # generated flag is filtered, not the predicates: those would be pushed down to the
     # scan, and every costly expression evaluated a second time.
@@ -169,6 +185,19 @@ def _mark(rule: rules.PlannedRule) -> str:
     return f"fires_{rule.order}"
 
 
+def _detail(rule: rules.PlannedRule) -> str:
+    return f"detail_{rule.order}"
+
+
+def _over_groups(rule: rules.Rule | rules.PlannedRule) -> bool:
+    return bool(set(rule.needs) & set(GROUP_NEEDS))
+
+
+def _require_unique(table: DataFrame) -> None:
+    if not table.groupBy(ROW_ID).count().filter("count > 1").isEmpty():
+        raise ValueError("id_col repeats a value")
+
+
 def _evaluate(
     listings: Listings,
     cfg: RiskConfig,
@@ -177,7 +206,11 @@ def _evaluate(
     flags: Iterable[str] | None = None,
     extra: Sequence[str] = (),
 ) -> tuple[list[rules.PlannedRule], DataFrame]:
-    """Planned rules, and the listings with one boolean per rule and all it refers to."""
+    """Planned rules, and the listings with the mark and the evidence text of each rule.
+
+    Texts of rules that need no other row are made before the join and carried across it, if
+    the output asks for them.
+    """
     available = set(GROUP_NEEDS) - {"rdi"}
     if references.suffixes is not None:
         available |= {"site_domain", "landing_domain"}
@@ -187,22 +220,6 @@ def _evaluate(
     planned = rules.plan_rules(cfg, listings, available, flags)
     needs = {need for rule in planned for need in rule.needs} | set(extra)
 
-    group_needs = needs & set(GROUP_NEEDS)
-    if group_needs:
-        for_keys = group_needs | ({"site_domain"} if "domain" in group_needs else set())
-        keyed = prepared_listings(listings, cfg, references, for_keys, options.full_nfkd)
-        evidence = group_evidence(
-            keyed,
-            group_kinds(cfg, listings, group_needs, options.compare_cols),
-            known={"rdi": residential_keys(references.rdi)} if "rdi" in needs else None,
-            first_name=F.col("name_key"),
-            row_id=ROW_ID,
-            salt_rows=options.salt_rows,
-        )
-        # Where only groups can fire, rows without evidence need not be read on.
-        groups_only = not extra and all(set(rule.needs) & set(GROUP_NEEDS) for rule in planned)
-        how = "inner" if groups_only else "left"
-        listings = replace(listings, table=listings.table.join(evidence, ROW_ID, how))
     rows = prepared_listings(listings, cfg, references, needs, options.full_nfkd)
     if "zip_dim" in needs:
         rows = with_zip_state(rows, F.col("zip5"), references.zip_dim, "zip_state")
@@ -214,4 +231,36 @@ def _evaluate(
         rows = rows.withColumn("description_hits", rules.description_hits(cfg))
     if "KEYWORD_FIELD_STUFFED" in chosen:
         rows = rows.withColumn("keyword_terms", rules.keyword_terms(cfg, options.full_nfkd))
-    return planned, rows.withColumns({_mark(rule): rule.fires for rule in planned})
+    local = [rule for rule in planned if not _over_groups(rule)]
+    rows = rows.withColumns({_mark(rule): rule.fires for rule in local})
+
+    group_needs = needs & set(GROUP_NEEDS)
+    if not group_needs:
+        return planned, rows.withColumns(
+            {_detail(rule): F.when(F.col(_mark(rule)), rule.detail) for rule in local})
+    if listings.given_ids and options.check_ids and not listings.table.isStreaming:
+        _require_unique(listings.table)
+    for_keys = group_needs | ({"site_domain"} if "domain" in group_needs else set())
+    evidence = group_evidence(
+        prepared_listings(listings, cfg, references, for_keys, options.full_nfkd),
+        group_kinds(cfg, listings, group_needs, options.compare_cols),
+        known={"rdi": residential_keys(references.rdi)} if "rdi" in needs else None,
+        first_name=F.col("name_key"),
+        row_id=ROW_ID,
+        salt_rows=options.salt_rows,
+    )
+    if local:
+        bits = sum((F.when(F.col(_mark(rule)), F.lit(1 << at)).otherwise(0)
+                    for at, rule in enumerate(local)), F.lit(0).cast("long"))
+        rows = rows.withColumns({
+            "local_bits": bits,
+            **{_detail(rule): F.when(F.col(_mark(rule)), rule.detail) for rule in local},
+        })
+    # Where only groups can fire, rows without evidence need not be read on.
+    rows = rows.join(evidence, ROW_ID, "left" if local or extra else "inner")
+    marks = {_mark(rule): F.col("local_bits").bitwiseAND(F.lit(1 << at)) != 0
+             for at, rule in enumerate(local)}
+    shared = [rule for rule in planned if _over_groups(rule)]
+    rows = rows.withColumns(marks | {_mark(rule): rule.fires for rule in shared})
+    return planned, rows.withColumns(
+        {_detail(rule): F.when(F.col(_mark(rule)), rule.detail) for rule in shared})
