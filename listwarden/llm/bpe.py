@@ -2,8 +2,8 @@
 
 A pre-token is a doubly linked list of symbols. The queue holds the rank and place of every pair
 that may merge; the lowest rank is merged first, leftmost first, and an entry whose pair has
-changed meanwhile is stale and skipped. Each distinct run of text between blanks is encoded once
-per worker, as far as the bounded store reaches.
+changed meanwhile is stale and skipped. Each distinct run of text between blanks, and each
+distinct pre-token, is encoded once per worker, as far as the bounded stores reach.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.strings = {i: bytes(names[c] for c in token) for token, i in vocab.items() if token not in self.special}
         self.strings |= {i: token.encode() for token, i in self.special.items()}
+        # by id; the last entry stands for unknown ids
+        self.table = pa.array([self.strings.get(i, b"") for i in range(max(self.strings) + 2)], pa.large_binary())
         self.bytes_ = [vocab[name] for name, _ in sorted(names.items(), key=lambda x: x[1])]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(content["model"]["merges"]):
@@ -54,6 +56,7 @@ class Bpe:
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -79,13 +82,25 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _chunk(self, text: str) -> tuple[int, ...]:
-        found = tuple(x for word in self.split.findall(text) for x in self.merge(word.encode()))
+        words = self.split.findall(text)
+        found = self._word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self._word, words)))
         if len(text) <= KEPT_LENGTH:
             if len(self.known) >= KEPT_CHUNKS:
                 self.known.clear()
             self.known[text] = found
         return found
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of one pre-token: chunks that differ in punctuation share theirs."""
+        found = self.words.get(word)
+        if found is None:
+            found = tuple(self.merge(word.encode()))
+            if len(word) <= KEPT_LENGTH:
+                if len(self.words) >= KEPT_CHUNKS:
+                    self.words.clear()
+                self.words[word] = found
+        return found
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known, chunk = self.known.get, self._chunk
@@ -100,6 +115,18 @@ class Bpe:
         """Text of ids; bytes that are not UTF-8 become replacement characters, unknown ids nothing."""
         return b"".join([self.strings.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
+    def decode_all(self, ids: pa.ListArray) -> list[str | None]:
+        """As decode, for the lists of a batch: the vocabulary strings of all ids end to end, cut by list."""
+        n = len(self.table) - 1
+        numbers = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        joined = self.table.take(pa.array(np.where((numbers < 0) | (numbers > n), n, numbers)))
+        _, places, content = joined.buffers()
+        places = np.frombuffer(places, np.int64)[joined.offset :] if len(joined) else np.zeros(1, np.int64)
+        ends = places[np.cumsum([0, *ids.value_lengths().fill_null(0).to_numpy()])]
+        view = memoryview(content or b"")
+        return [str(view[a:b], "utf-8", "replace") if known else None
+                for a, b, known in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist(), strict=True)]
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
@@ -132,7 +159,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            text = [None if x is None else bpe.decode(x) for x in batch.column("ids").to_pylist()]
+            text = bpe.decode_all(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(text, pa.string())], names=[*kept, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*[f"`{c}`" for c in kept]).schema)
