@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from listwarden.llm.words import slices
 
-KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
+KEPT_CHUNKS, KEPT_LENGTH = 250_000, 64
 #: Unicode white space, and the pattern that splits text before the merges.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
