@@ -197,3 +197,15 @@ def test_zip_state(spark):
             {"zip": "99999", "state": "TX"}, {"zip": "10001"}]
     found = flags(spark, rows, "STATE_ZIP_MISMATCH", references=References(zip_dim=dim))
     assert found == {0: "ZIP 10001 belongs to NY, not TX"}
+
+
+def test_long_keyword_cells_take_linear_time(spark):
+    words = [f"word{at}" for at in range(100_000)] * 2 + ["rare"] * 3
+    found = flags(spark, [{"keywords": "a,b,c," + " ".join(words)}], "KEYWORD_FIELD_STUFFED")
+    assert found == {0: "Keywords field has 4 entries — repeated terms: {'rare': 3}"}
+
+
+def test_repeated_ids_raise(spark):
+    row = spark.createDataFrame([(1, "555"), (1, "555")], "row_id long, phone string")
+    with pytest.raises(ValueError, match="repeats"):
+        flag_table(row, CFG, id_col="row_id", flags=["SHARED_PHONE"])
