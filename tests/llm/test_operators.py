@@ -291,3 +291,15 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(path, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_bpe_decodes_batches_as_it_decodes_one_list():
+    import pyarrow as pa
+
+    from listwarden.llm import bpe, packing
+
+    coder = bpe.load(packing.default_tokenizer("byte_bpe_50k.json"))
+    lists = [coder.encode("Größe, ½ ﬁne"), None, [], coder.encode("日本")[:1], [99_999_999, -4]]
+    batch = pa.array(lists, pa.list_(pa.int32()))
+    for part in (batch, batch.slice(1, 3), batch.slice(0, 0)):
+        assert coder.decode_all(part) == [None if x is None else coder.decode(x) for x in part.to_pylist()]
