@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     after that, buckets that these links have not joined into one component are compared in full, in
     blocks inside tasks, so no link between different texts is lost and no row is made for a pair.
     """
-    described = docs.select("doc_id", "text").mapInArrow(
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    described = docs.mapInArrow(
         _describe, "doc_id long, bag_a long, bag_b long, size long, bands array<long>")
     signed_docs = stored(described)
     filled = signed_docs.filter("size > 0 AND doc_id IS NOT NULL")
