@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listwarden.llm.words import slices
+
 #: Bytes of sample texts for the dictionary of one language, and of each text in it.
 DICTIONARY_BYTES, SAMPLE_BYTES = 112_000, 128
 #: Languages learned at most; more raise an error.
@@ -71,13 +73,25 @@ def _sizes(data: bytes, compressors: list[zstandard.ZstdCompressor]) -> list[int
     return [sum(len(c.compress(p)) for p in pieces) for c in compressors]
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with columns lang_pred, score and rejected; columns of these names are replaced.
 
     `und`, score 0 and rejected if text is null or has no letter. Ties go to the language that
-    sorts first. With one language only, its margin counts as full. Rows stay as they are.
+    sorts first. With one language only, its margin counts as full. Rows stay as they are, without
+    the text unless keep_text: then it need not come back from Python.
     """
     names = sorted(dictionaries)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected", *([] if keep_text else [text]))]
+    sent = kept if text in kept else [*kept, text]
+    place = sent.index(text)
+
+    def judged(data: bytes, makers: list[zstandard.ZstdCompressor]) -> tuple[str, float]:
+        if not names or not data:
+            return UNKNOWN, 0.0
+        sizes = _sizes(data, makers)
+        order = sorted(range(len(names)), key=sizes.__getitem__)
+        margin = (sizes[order[1]] - sizes[order[0]]) / sizes[order[0]] if len(names) > 1 else FULL_MARGIN
+        return names[order[0]], min(1.0, margin / FULL_MARGIN)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makers = []
@@ -85,29 +99,17 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
             content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
             makers.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_dict_id=False))
-        for part in parts:
-            preds, scores = [], []
-            values = part.column("_text").to_pylist()
-            for value in values:
-                data = letters(value or "")
-                if not names or not data:
-                    preds.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                sizes = _sizes(data, makers)
-                order = sorted(range(len(names)), key=sizes.__getitem__)
-                preds.append(names[order[0]])
-                margin = (sizes[order[1]] - sizes[order[0]]) / sizes[order[0]] if len(names) > 1 else FULL_MARGIN
-                scores.append(min(1.0, margin / FULL_MARGIN))
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(c) for c in part.schema.names if c != "_text"], pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
-                names=[*[c for c in part.schema.names if c != "_text"], "lang_pred", "score"],
-            )
-
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema)
-    out = source.mapInArrow(batches, f"{schema}, lang_pred string, score double")
+        for batch in parts:
+            for part in slices(batch, place):
+                found = [judged(letters(value.as_py() or ""), makers) for value in part.column(place)]
+                preds, scores = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(kept)], pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*part.schema.names[: len(kept)], "lang_pred", "score"])
+
+    source = docs.select(*[F.col(f"`{c}`") for c in sent])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema[: len(kept)])
+    out = source.mapInArrow(batches, f"{schema}lang_pred string, score double")
     return out.withColumn("rejected", F.col("score") < NARROW_MARGIN / FULL_MARGIN)
 
 
@@ -118,6 +120,7 @@ def held_out(doc_id: Column) -> Column:
 
 def keep_known(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The rows of docs whose language is told with a clear margin, with the columns of docs."""
-    schema = docs.columns
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in schema]).alias("doc"), F.col("text").alias("text"))
-    return predict(slim, dictionaries).filter(~F.col("rejected")).select("doc.*")
+    names = docs.columns
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    known = predict(numbered, dictionaries, f"c{names.index('text')}").filter(~F.col("rejected"))
+    return known.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -33,7 +33,7 @@ NEAR_BEST = 0.03
 #: Pieces of one length are ranked in as many independent groups.
 SHARDS = 256
 #: Words whose ids a worker keeps; the store is emptied when full.
-KEPT_WORDS, KEPT_LENGTH = 600_000, 48
+KEPT_WORDS, KEPT_LENGTH = 200_000, 48
 _UNIT_ENDS = re.compile(rb"(?<=[a-z0-9])(?=[,.!?;:&%$#*|\"()])")
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first

@@ -85,7 +85,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     outside = language_id.held_out(F.col("doc_id"))
     dictionaries = language_id.learn(docs.filter(~outside))
-    return language_id.predict(docs.select("doc_id", outside.alias("held_out"), "text"), dictionaries).drop("text")
+    return language_id.predict(docs.select("doc_id", outside.alias("held_out"), "text"), dictionaries, keep_text=False)
 
 
 @query

@@ -100,7 +100,7 @@ def ngrams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part have at most this many bytes, or are one text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(sizes)])
