@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import cache
@@ -44,9 +45,8 @@ def any_of(words: Iterable[str]) -> str:
 def normalize_text(value: Column, full_nfkd: bool = False) -> Column:
     """Lower-case words separated by single spaces; accents split their word.
 
-    By default accents are separated with built-in functions, which covers every
-    character of the basic plane that decomposes into one base character. With
-    ``full_nfkd`` an Arrow UDF also expands ligatures, fractions and syllables.
+    Compatibility decomposition is done with built-in functions. With ``full_nfkd`` an
+    Arrow UDF does it instead, with the tables of Python in place of those built in here.
     """
     text = F.lower(F.coalesce(value.cast("string"), F.lit("")))
     text = decompose_arrow(text) if full_nfkd else decompose(text)
@@ -55,19 +55,41 @@ def normalize_text(value: Column, full_nfkd: bool = False) -> Column:
 
 def decompose(text: Column) -> Column:
     """Base characters, each followed by a blank where an accent was split off."""
-    accented, plain_from, plain_to = _decompositions()
-    # The look-ahead spares ASCII characters the walk through all ranges.
-    spread = F.regexp_replace(text, rf"(?=[^\x00-\x7F])([{accented}])", "$1 ")
-    folded = F.translate(spread, plain_from, plain_to)
+    accented, plain_from, plain_to, several, _ = _decompositions()
     is_ascii = F.octet_length(text) == F.length(text)
-    return F.when(is_ascii, text).otherwise(folded)
+    expanded = F.when(text.rlike(rf"[{several}\x{{ac00}}-\x{{d7a3}}]"), _expand(text)).otherwise(text)
+    # The look-ahead spares ASCII characters the walk through all ranges.
+    spread = F.regexp_replace(expanded, rf"(?=[^\x00-\x7F])([{accented}])", "$1 ")
+    return F.when(is_ascii, text).otherwise(F.translate(spread, plain_from, plain_to))
+
+
+def _expand(text: Column) -> Column:
+    """Characters that stand for several base characters, and Hangul syllables, spelled out."""
+    _, _, _, several, spelled = _decompositions()
+    table = F.str_to_map(F.lit(spelled), F.lit("\x02"), F.lit("\x01"))
+    # First letters, vowels and last letters of syllables, in code order.
+    leads, vowels, tails = ("".join(map(chr, range(low, low + n))) for low, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def pick(letters: str, place: Column) -> Column:
+        return F.substr(F.lit(letters), place.cast("int"), F.lit(1))
+
+    def one(c: Column) -> Column:
+        number = F.ascii(c) - 0xAC00
+        tail = F.when(number % 28 > 0, pick(tails, number % 28)).otherwise(F.lit(""))
+        syllable = F.concat(
+            pick(leads, F.floor(number / 588) + 1), pick(vowels, F.floor(number % 588 / 28) + 1), tail)
+        return F.when(c.between("\uac00", "\ud7a3"), syllable).when(
+            c.rlike(f"[{several}]"), F.try_element_at(table, c)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 @cache
-def _decompositions() -> tuple[str, str, str]:
-    """Characters with accents (as a regex class), and a one-to-one base mapping."""
-    accented, plain_from, plain_to = [], [], []
-    for code in range(0xA0, 0x10000):
+def _decompositions() -> tuple[str, str, str, str, str]:
+    """Regex class of characters with accents, their one-to-one base mapping (two strings),
+    regex class of characters with several bases, and those as key, \\x01, value, \\x02, ..."""
+    accented, plain_from, plain_to, several, spelled = [], [], [], [], []
+    for code in range(0xA0, sys.maxunicode + 1):
         parts = unicodedata.normalize("NFKD", chr(code))
         if parts == chr(code) or 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
             continue
@@ -77,7 +99,10 @@ def _decompositions() -> tuple[str, str, str]:
             plain_to.append(base)
             if rest:
                 accented.append(code)
-    return _ranges(accented), "".join(plain_from), "".join(plain_to)
+        else:
+            several.append(code)
+            spelled.append(f"{chr(code)}\x01{parts}")
+    return _ranges(accented), "".join(plain_from), "".join(plain_to), _ranges(several), "\x02".join(spelled)
 
 
 def _ranges(codes: list[int]) -> str:

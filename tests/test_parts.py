@@ -167,3 +167,13 @@ def test_reference_keys_of_any_form_match(spark):
     table = spark.createDataFrame([("12345-6789", "ny")], "zip string, state_code string")
     out = with_zip_state(listings, F.col("zip"), table, "state").collect()
     assert {r.zip: r.state for r in out} == {"12345-6789": "NY", "1": None}
+
+
+def test_every_character_decomposes(spark):
+    """The built-in decomposition equals the tables of Python, for each code point on its own and in words."""
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    blocks = ["-".join(f"x{chr(c)}y" for c in codes[i:i + 64]) for i in range(0, len(codes), 64)]
+    rows = spark.createDataFrame([(b,) for b in [*blocks, "\U0001d400cme \ufb01re \u00bd price \u33d2 \ud55c\uae00", "", None]], "t string")
+    got = rows.select("t", text.normalize_text(F.col("t")).alias("a"), text.normalize_text(F.col("t"), full_nfkd=True).alias("b"))
+    wrong = got.filter("NOT a <=> b").collect()
+    assert not wrong, (len(wrong), wrong[0])
