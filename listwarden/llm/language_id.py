@@ -7,7 +7,8 @@ texts are compressed in pieces of PIECE bytes, each with the dictionary alone, a
 added: so the dictionary counts for the whole text.
 
 The score is the margin between the two smallest sizes, as a share of the smallest, scaled so that
-a margin of FULL_MARGIN or more gives 1. Narrow margins are rejected.
+a margin of FULL_MARGIN or more gives 1. Narrow margins are rejected: texts in a language without
+dictionary, and junk, compress about equally with all dictionaries.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ DICTIONARY_BYTES, SAMPLE_BYTES = 112_000, 128
 #: Languages learned at most; more raise an error.
 MOST_LANGUAGES = 200
 PIECE, LEVEL = 4_096, 5
-FULL_MARGIN, NARROW_MARGIN = 0.25, 0.001
+#: NARROW_MARGIN was fitted on 2,500 labelled documents of sf0.1 that are not held out: 7 of the 2,481
+#: whose language is told right lie below it.
+FULL_MARGIN, NARROW_MARGIN = 0.25, 0.05
 UNKNOWN = "und"
 
 

@@ -220,6 +220,18 @@ def test_held_out_accuracy(spark, sf_dir):
     assert out.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
 
 
+def test_unlearned_languages_and_junk_are_rejected(frame, spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").filter("length(text) >= 200")
+    outside = language_id.held_out(F.col("doc_id"))
+    learned = language_id.learn(docs.filter(~outside & (F.col("lang") != "es")))
+    out = language_id.predict(docs.filter(outside & (F.col("doc_id") % 3 == 0)), learned)
+    share = {r[0]: r[1] for r in out.groupBy("lang").agg(F.avg(F.col("rejected").cast("int"))).collect()}
+    assert share["es"] > 0.9 and all(share[x] < 0.02 for x in ("de", "en", "fr"))
+    r = random.Random(1)
+    junk = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)) for n in (30, 300, 3000) for _ in range(50)]
+    assert language_id.keep_known(frame(junk), learned).count() == 0
+
+
 def test_embedding_dedup(spark):
     importable(spark)
     r = np.random.default_rng(1)
