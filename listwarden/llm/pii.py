@@ -9,8 +9,8 @@ DataFrame functions only: every match is found, permuted and put back inside the
 | kind  | accepted if | permuted |
 | ----- | ----------- | -------- |
 | email | has a dotted domain | letters and digits of the local part, class by class |
-| card  | 13 to 19 digits, first 3 to 6 or 2, Luhn | all digits but the first; check digit made anew |
-| iban  | remainder 1 modulo 97 | letters and digits of the account; check digits made anew |
+| card  | 13 to 19 digits, first 3 to 6 or 2, Luhn; in fours, 4-6-5, 4-6-4, 6-13 or one run | all digits but the first; check digit made anew |
+| iban  | length of its country, remainder 1 modulo 97 | letters and digits of the account; check digits made anew |
 | ssn   | area, group and serial are issued ones | the three fields, among issued values |
 | phone | +, 8 to 15 digits; or (AAA) BBB-CCCC, AAA-BBB-CCCC | digits after the country code |
 | ip    | four octets of 0 to 255 | all 32 bits |
@@ -18,7 +18,8 @@ DataFrame functions only: every match is found, permuted and put back inside the
 | secret | value with a digit after password, token, secret, key =; or an access key id | letters and digits, class by class |
 
 Dates are yyyy-mm-dd, yyyy/mm/dd, mm/dd/yyyy and dd.mm.yyyy (with dashes, day first); the same day
-in two formats stays the same day. A match that fails its check is left as it is.
+in two formats stays the same day. A match that fails its check is left as it is, and does not hide
+another one that begins within it or at the same place. A secret before the @ of an address is part of the address.
 """
 
 from __future__ import annotations
@@ -29,19 +30,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Patterns of the candidates, tried in this order at each place of a text.
+#: Characters of an IBAN by country, from the public registry and its usual additions.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(codes.replace(" ", "|") for codes in IBAN_LENGTHS.values())
+_BY_COUNTRY = "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+_DOMAIN = r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Patterns of the candidates by kind; all are tried in this order at each place of a text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}|\bAKIA[A-Z0-9]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "date": r"(?<![0-9.\/-])(?:[0-9]{4}[-\/][0-9]{2}[-\/][0-9]{2}|[0-9]{2}[-.\/][0-9]{2}[-.\/][0-9]{4})(?![0-9]|[-\/.][0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9.])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+    "email": [r"[A-Za-z0-9][A-Za-z0-9._%+-]*+" + _DOMAIN],
+    "secret": [
+        r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,}+(?!" + _DOMAIN + ")",
+        r"\bAKIA[A-Z0-9]{16}\b",
+    ],
+    # of countries without a known length, the longest run and the run without blanks
+    "iban": [rf"(?:{_BY_COUNTRY})\b", rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}\b",
+             rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}\b"],
+    "ip": [r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"],
+    "date": [r"(?<![0-9.\/-])(?:[0-9]{4}[-\/][0-9]{2}[-\/][0-9]{2}|[0-9]{2}[-.\/][0-9]{2}[-.\/][0-9]{4})(?![0-9]|[-\/.][0-9])"],
+    "ssn": [r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"],
+    "phone": [
+        r"\+1(?:[ .()-]{0,2}[0-9]){10}(?![0-9])|\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])",
+        r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
+    ],
+    # groups of four up to 19 digits, up to 16 digits or with a long last group, 4-6-5 and 4-6-4, 6-13
+    "card": [
+        r"(?<![0-9.])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}[ -][0-9]{1,3}(?![0-9])",
+        r"(?<![0-9.])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+        r"(?<![0-9.])[2-6][0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}(?![0-9])",
+        r"(?<![0-9.])[2-6][0-9]{5}[ -][0-9]{13}(?![0-9])",
+    ],
 }
-#: All candidates start a run of letters and digits, or with a sign before one.
-EVERY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+_FORMS = [(kind, form) for kind, forms in PATTERNS.items() for form in forms]
+#: The places before candidates, which overlap. All start a run of letters and digits, or with a sign before one.
+EVERY = "(?=(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{form})" for _, form in _FORMS) + "))"
+#: Candidates that the taking of places goes through at once.
+_BLOCK = 256
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -178,7 +208,7 @@ def _secret(m: Column, key: str) -> Column:
     value = F.regexp_extract(m, r"[A-Za-z0-9+/_-]+$", 0)
     head = F.when(m.startswith("AKIA"), F.lit("AKIA")).otherwise(F.left(m, F.length(m) - F.length(value)))
     fresh = F.concat(head, permute_text(F.substr(m, F.length(head) + 1), key, "secret"))
-    return F.when(value.rlike("[0-9]"), fresh)
+    return F.when(m.startswith("AKIA") | value.rlike("[0-9]"), fresh)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -265,14 +295,63 @@ KINDS: dict[str, Callable[[Column, str], Column]] = {
 }
 
 
-def _replacement(m: Column, key: str) -> Column:
-    """Struct of the kind and the pseudonym of a match; both null if no kind accepts it."""
-    out = F.lit(None).cast("struct<kind:string,text:string>")
-    for name in reversed(list(KINDS)):
-        found = F.struct(F.lit(name).alias("kind"), KINDS[name](m, key).alias("text"))
-        out = F.when(m.rlike(f"^(?:{PATTERNS[name]})$"), found).otherwise(out)
-    return _let(out, lambda o: F.struct(
-        F.when(o.text.isNotNull(), o.kind).alias("kind"), F.coalesce(o.text, m).alias("text")))
+def _judged(forms: Column, key: str) -> Column:
+    """The first form at a place that its kind accepts: kind, length and pseudonym, all null if there is none."""
+    def accepted(i: int, name: str) -> Column:
+        m = forms[f"f{i}"]
+        return _let(F.when(m != "", KINDS[name](m, key)), lambda t: F.when(t.isNotNull(), F.struct(
+            F.lit(name).alias("kind"), F.length(m).alias("size"), t.alias("text"))))
+
+    return F.coalesce(*[accepted(i, name) for i, (name, _) in enumerate(_FORMS)])
+
+
+def _taken(hits: Column) -> Column:
+    """Per place the characters that are replaced from there on, and whether its own candidate is taken.
+
+    First come, first taken: a candidate that begins within one taken before is not. The places are
+    gone through in blocks, so that growing arrays stay small.
+    """
+    kind = "array<struct<skip:int,own:boolean>>"
+
+    def place(s: Column, h: Column) -> Column:
+        own = (s["left"] == 0) & h["kind"].isNotNull()
+        return _let(F.when(own, h["size"]).otherwise(s["left"]), lambda cover: F.struct(
+            F.greatest(cover - h["room"], F.lit(0)).alias("left"),
+            F.concat(s.out, F.array(F.struct(F.least(cover, h["room"]).alias("skip"), own.alias("own")))).alias("out")))
+
+    def block(s: Column, at: Column) -> Column:
+        start = F.struct(s["left"].alias("left"), F.array().cast(kind).alias("out"))
+        return _let(F.aggregate(F.slice(hits, at + 1, F.lit(_BLOCK)), start, place), lambda b: F.struct(
+            b["left"].alias("left"), F.concat(s.out, F.array(b.out)).alias("out")))
+
+    start = F.struct(F.lit(0).alias("left"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1, F.lit(_BLOCK)), start, block, lambda s: s.out))
+
+
+def _pseudonymised(text: Column, key: str) -> Column:
+    """Struct of the text with pseudonyms and the kinds found, null if it has no candidate.
+
+    Every place where a candidate begins is looked at, also within the others: so one that fails
+    its check hides none behind it.
+    """
+    fields = [f"f{i}" for i in range(len(_FORMS))]
+
+    def worked(whole: Column, pieces: Column) -> Column:
+        found = [F.regexp_extract_all(whole, F.lit(f"{EVERY}(?=({form})|)"), F.lit(1)) for _, form in _FORMS]
+        rows = F.arrays_zip(F.slice(pieces, F.lit(2), F.size(pieces)).alias("piece"), *[
+            f.alias(name) for f, name in zip(found, fields, strict=True)])
+        hits = F.transform(rows, lambda r: _let(_judged(r, key), lambda j: F.struct(
+            r.piece.alias("piece"), F.length(r.piece).alias("room"), j.kind.alias("kind"), j["size"].alias("size"), j.text.alias("text"))))
+        return _let(hits, lambda h: _let(F.zip_with(h, _taken(h), lambda h, t: F.struct(
+            F.concat(F.when(t.own, h.text).otherwise(F.lit("")), F.substr(h.piece, t.skip + 1)).alias("text"),
+            F.when(t.own, h.kind).alias("kind"),
+        )), lambda out: F.struct(
+            F.concat(F.substr(F.get(pieces, F.lit(0)), F.lit(2)), F.array_join(out.text, "")).alias("text"),
+            F.filter(out.kind, lambda k: k.isNotNull()).alias("found"))))
+
+    # the line break keeps a candidate off the start, where split would make no piece before it
+    return _let(F.concat(F.lit("\n"), text), lambda whole: _let(
+        F.split(whole, EVERY, -1), lambda pieces: F.when(F.size(pieces) > 1, worked(whole, pieces))))
 
 
 def with_pseudonyms(docs: DataFrame, key: str = "public test key") -> DataFrame:
@@ -283,13 +362,8 @@ def with_pseudonyms(docs: DataFrame, key: str = "public test key") -> DataFrame:
     `found`, which is replaced) pass through, an empty table stays empty.
     """
     text = F.col("text")
-    hits = F.transform(F.regexp_extract_all(text, F.lit(EVERY), F.lit(0)), lambda m: _replacement(m, key))
     busy = text.rlike("[0-9@=:]") | text.contains("AKIA")  # else no pattern can match
-    none = F.array().cast("array<struct<kind:string,text:string>>")
-    marked = docs.withColumn("found", F.when(busy, hits).otherwise(none))
-    rest = F.split(text, EVERY, -1)
-    whole = F.array_join(
-        F.transform(rest, lambda part, i: F.concat(part, F.coalesce(F.get(F.col("found.text"), i), F.lit("")))), ""
-    )
-    marked = marked.withColumn("text", F.when(F.size("found") > 0, whole).otherwise(text))
-    return marked.withColumn("found", F.filter(F.col("found.kind"), lambda k: k.isNotNull()))
+    marked = docs.withColumn("found", F.when(busy, _pseudonymised(text, key)))
+    some = F.size("found.found") > 0
+    marked = marked.withColumn("text", F.when(some, F.col("found.text")).otherwise(text))
+    return marked.withColumn("found", F.coalesce(F.col("found.found"), F.array().cast("array<string>")))
