@@ -297,12 +297,13 @@ KINDS: dict[str, Callable[[Column, str], Column]] = {
 
 def _judged(forms: Column, key: str) -> Column:
     """The first form at a place that its kind accepts: kind, length and pseudonym, all null if there is none."""
-    def accepted(i: int, name: str) -> Column:
-        m = forms[f"f{i}"]
-        return _let(F.when(m != "", KINDS[name](m, key)), lambda t: F.when(t.isNotNull(), F.struct(
-            F.lit(name).alias("kind"), F.length(m).alias("size"), t.alias("text"))))
+    def accepted(name: str) -> Column:
+        mine = F.filter(F.array(*[forms[f"f{i}"] for i, (kind, _) in enumerate(_FORMS) if kind == name]), lambda m: m != "")
+        tried = F.transform(mine, lambda m: F.struct(
+            F.lit(name).alias("kind"), F.length(m).alias("size"), KINDS[name](m, key).alias("text")))
+        return F.get(F.filter(tried, lambda t: t.text.isNotNull()), F.lit(0))
 
-    return F.coalesce(*[accepted(i, name) for i, (name, _) in enumerate(_FORMS)])
+    return F.coalesce(*[accepted(name) for name in KINDS])
 
 
 def _taken(hits: Column) -> Column:
