@@ -124,6 +124,23 @@ def test_license_scan(frame):
     assert got[0] and got[5] and not got[2]
 
 
+def test_license_notices_in_other_wordings(frame):
+    texts = license_scan.packaged()
+    want = {
+        "Licensed under the MIT License": "MIT", "Licensed under CC BY 4.0": "CC-BY-4.0", "Code here is released under Apache 2.0 License": "Apache-2.0",
+        "This project is licensed under the BSD 3-Clause License, see file": "BSD-3-Clause", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+        "Distributed under the terms of the GNU Affero General Public License v3.0": "AGPL-3.0", "License: MPL 2.0": "MPL-2.0",
+        "Text is available under the Creative Commons Attribution-ShareAlike 3.0 Unported License": "CC-BY-SA-3.0", "licensed under the ISC license": "ISC",
+        "No licence is named in this text, which was published under the bridge.": None,
+    }
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "CC0-1.0", "CC-BY-SA-4.0"]
+    want |= {"Words before it. " + texts[f"{n}-text"][-1] + " Words behind it.": f"{n}-text" for n in names}
+    got = {r.doc_id: [x.license for x in r.licenses] for r in license_scan.scan_licenses(frame(list(want))).collect()}
+    for i, (text, name) in enumerate(want.items()):
+        # a whole text holds notices too, which are as good
+        assert (name in got[i] if (name or "").endswith("-text") else got[i][:1] == ([name] if name else [])), (text[:90], got[i])
+
+
 def test_token_counts(frame):
     scores = token_counts.pieces(packing.default_tokenizer("piece_bpe_32k.model"))
 
