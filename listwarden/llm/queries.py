@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from listwarden.llm import (
     bpe,
+    centroids,
     embedding_dedup,
     exact_dedup,
     language_id,
@@ -131,3 +132,44 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def _centroid_rounds() -> str:
+    """The rounds of clustering, written out one after the other."""
+    nearest = """
+  SELECT vec_id, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+    SELECT p.vec_id, c.j, sum((p.x - c.x) * (p.x - c.x)) AS d
+    FROM components p JOIN c{0} c USING (place) GROUP BY 1, 2) GROUP BY 1"""
+    moved = """
+  SELECT c.j, c.place, coalesce(m.x, c.x) AS x FROM c{0} c LEFT JOIN (
+    SELECT a.j, p.place, (sum(p.x) - ((sum(p.x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+    FROM a{0} a JOIN components p USING (vec_id) GROUP BY 1, 2) m ON m.j = c.j AND m.place = c.place"""
+    parts = []
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest.format(i)})")
+        if i < centroids.ROUNDS:
+            parts.append(f"c{i + 1} AS MATERIALIZED ({moved.format(i)})")
+    return ",\n".join(parts)
+
+
+ORACLES["op11_centroids"] = f"""
+WITH components AS MATERIALIZED (
+  SELECT vec_id, unnest(range(64)) AS place, CAST(floor(1024 * unnest(embedding)::DOUBLE) AS HUGEINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (
+  SELECT j, place, x FROM components JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS j
+    FROM (SELECT DISTINCT vec_id FROM components)) USING (vec_id) WHERE j < {centroids.CENTROIDS}),
+{_centroid_rounds()},
+digests AS (
+  SELECT j, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY place)) AS sha FROM c{centroids.ROUNDS} GROUP BY 1)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN digests USING (j)
+"""
