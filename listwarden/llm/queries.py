@@ -22,6 +22,7 @@ from listwarden.llm import (
     pii,
     substring_dedup,
     token_counts,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +174,24 @@ SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
        sha AS centroid_sha256
 FROM a{centroids.ROUNDS} JOIN digests USING (j)
 """
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no times: a page was captured so many seconds into 2024 as its id says, within ten years."""
+    seconds = F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(315_360_000))
+    captures = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.col("page_id").alias("capture_id"), "url", F.timestamp_seconds(seconds).alias("captured"), F.col("html").alias("payload"))
+    return warc.archived(captures).select(
+        F.col("capture_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op12_warc"] = f"""
+WITH t AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} THEN
+    nullif(min(page_id) OVER (PARTITION BY payload_digest), page_id) END AS refers_to FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM g
+"""
