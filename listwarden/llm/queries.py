@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwarden.llm import (
+    alignment,
     bpe,
     centroids,
     embedding_dedup,
@@ -195,3 +196,9 @@ g AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM g
 """
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        documents(spark, sf_dir), packing.default_tokenizer("byte_bpe_50k.json"), packing.default_tokenizer("piece_bpe_32k.model"))
