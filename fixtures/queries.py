@@ -25,7 +25,7 @@ from listwarden.operators.prepare import Listings, clean_fields, derive
 from listwarden.operators.row_ids import with_row_ids
 from listwarden.operators.rules import CATALOG, FLAGS
 from listwarden.plans import reports, residential
-from listwarden.sources.files import preview
+from listwarden.sources.files import preview, read_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,37 +91,42 @@ def canonical_fields(spark, sf_dir):
 
 
 @query(on_listings(
-    "SELECT count(*) AS n, 0 AS lowest, count(*) - 1 AS highest, count(*) AS distinct_ids "
-    "FROM listings"))
+    f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS line, {oracle.INPUT} FROM listings"))
 def generated_row_ids(spark, sf_dir):
-    """Generated ids are contiguous from 0."""
-    ids = with_row_ids(fx.listings(spark, sf_dir).drop("row_id", "description"))
-    return ids.agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").cast("int").alias("lowest"),
-        F.max("row_id").alias("highest"), F.count_distinct("row_id").alias("distinct_ids"),
-    )
+    """The listings, written in order, with ids that follow from their places in the files."""
+    path = f"{fx.scratch(spark)}/ordered"
+    fx.stored_listings(spark, sf_dir).orderBy("row_id").write.parquet(path)
+    return with_row_ids(spark.read.parquet(path), "line")
+
+
+_SCORED_SQL = (f"SELECT {oracle.INPUT}, spam_score, risk_tier, flags_triggered, flag_details, "
+               "is_duplicate_of_row FROM scored")
 
 
-@query(oracle.scored(f"SELECT {oracle.INPUT}, spam_score, risk_tier, flags_triggered, "
-                     "flag_details, is_duplicate_of_row FROM scored"))
+@query(oracle.scored(_SCORED_SQL))
 def score_table(spark, sf_dir):
     """Every rule, score, tier, flags, details and duplicate reference on the input."""
     return _scored(spark, sf_dir)
 
 
-def _written(spark, sf_dir, table):
-    folder = fx.scratch(spark)
-    write_results(_scored(spark, sf_dir).drop("description", "flag_details"), folder)
+def _written(spark, sf_dir, table, file_format="parquet"):
+    folder, scored = fx.scratch(spark), _scored(spark, sf_dir)
+    write_results(scored, folder, file_format)
+    if table == "flagged":
+        return read_results(spark, f"{folder}/flagged", scored.schema, file_format)
     return spark.read.parquet(f"{folder}/{table}")
 
 
-@query(oracle.scored("SELECT row_id, spam_score, risk_tier, flags_triggered, "
-                     "is_duplicate_of_row FROM scored"))
+@query(oracle.scored(_SCORED_SQL))
 def sink_flagged(spark, sf_dir):
-    """The flagged table as written and read back."""
-    return _written(spark, sf_dir, "flagged").select(
-        "row_id", "spam_score", "risk_tier", "flags_triggered", "is_duplicate_of_row"
-    )
+    """The flagged table as written and read back, every column."""
+    return _written(spark, sf_dir, "flagged")
+
+
+@query(oracle.scored(_SCORED_SQL))
+def sink_flagged_csv(spark, sf_dir):
+    """The flagged table as written to CSV and read back, every column."""
+    return _written(spark, sf_dir, "flagged", "csv")
 
 
 _TIER_SQL = """

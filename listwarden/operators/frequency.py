@@ -1,9 +1,10 @@
 """How often values occur, and what the members of a frequent group need to know.
 
-All keys of a row travel in one long narrow table ``(id, kind, key)``. It is counted
-once (with map-side partial aggregation, so hot keys collapse before the shuffle) and
-joined back once, whatever the number of keys. Only the per-row evidence meets the wide
-listings again, so those are shuffled a single time instead of once per rule.
+All keys of a row go to one long narrow table ``(row_id, kind, key)``, written once, so the
+listings are read and their keys (digests of whole rows among them) computed a single time.
+The table is counted once (with map-side partial aggregation, so hot keys collapse before the
+shuffle) and joined back once, whatever the number of keys. Only the per-row evidence meets
+the wide listings again, so those are shuffled a single time instead of once per rule.
 
 Rows of very frequent keys are spread over salts before the join back. How many salts a
 key gets depends on its count only, so results are exact and complete.
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listwarden.operators.storage import stored
+
 #: Rows of one key that a join task should get at most.
 SALT_ROWS = 250_000
 #: A key with at most this share of all key rows is never salted, so fewer keys than this can be.
@@ -83,34 +86,14 @@ def group_evidence(
     ``known`` restricts kinds to the keys of a given table with a ``key`` column.
     """
     number = {kind.name: index for index, kind in enumerate(kinds)}
-    # Keys are computed in a projection of their own: compiled, where expressions inside
-    # the generator would be interpreted.
-    wide = keyed.select(
-        F.col(row_id).alias("row_id"),
-        *[kind.key.alias(f"key_{number[kind.name]}") for kind in kinds],
-    )
-    keys = wide.select("row_id", F.inline(F.array(*[
-        F.struct(F.lit(code).alias("kind"), F.col(f"key_{code}").alias("key"))
-        for code in number.values()
-    ]))).filter(F.col("key").isNotNull())
-
+    named = [number[kind.name] for kind in kinds if kind.first_name]
+    keys = stored(_key_rows(keyed, kinds, number, first_name, row_id))
     groups = _groups(keys, kinds, number)
     for name, table in (known or {}).items():
         if name in number:
             groups = _restrict(groups, number[name], table)
+    groups = stored(groups)
     hot = _hot_keys(groups, salt_rows)
-    named = [number[kind.name] for kind in kinds if kind.first_name]
-    if named:
-        # Only groups of these kinds are shuffled to meet their names. The kind is asked for
-        # as an aggregate, so that both parts read the same counts instead of counting twice.
-        # Every first_id is a row of the table, so an inner join loses nothing, and it
-        # lets the smaller side be broadcast.
-        names = keyed.select(F.col(row_id).alias("first_id"), first_name.alias("first_name"))
-        is_named = F.col("counted_kind").isin(named)
-        groups = groups.filter(is_named).join(names, "first_id").unionByName(
-            groups.filter(~is_named).withColumn("first_name", F.lit(None).cast("string")))
-    groups = groups.drop("counted_kind")
-
     members = _join_back(keys, groups, hot, salt_rows)
     evidence = []
     for kind in kinds:
@@ -125,16 +108,47 @@ def group_evidence(
     return members.groupBy("row_id").agg(*evidence)
 
 
+def _key_rows(
+    keyed: DataFrame, kinds: Sequence[Kind], number: Mapping[str, int],
+    first_name: Column | None, row_id: str,
+) -> DataFrame:
+    """``row_id, kind, key, name``; kinds that ask for a first name carry that of the row."""
+    # Keys are computed in a projection of their own: compiled, where expressions inside
+    # the generator would be interpreted.
+    wide = keyed.select(
+        F.col(row_id).alias("row_id"),
+        (F.lit(None).cast("string") if first_name is None else first_name).alias("name"),
+        *[kind.key.alias(f"key_{number[kind.name]}") for kind in kinds],
+    )
+    rows = F.array(*[
+        F.struct(F.lit(number[kind.name]).alias("kind"),
+                 F.col(f"key_{number[kind.name]}").alias("key"),
+                 (F.col("name") if kind.first_name else F.lit(None).cast("string")).alias("name"))
+        for kind in kinds
+    ])
+    return wide.select("row_id", F.inline(rows)).filter(F.col("key").isNotNull())
+
+
 def _groups(keys: DataFrame, kinds: Sequence[Kind], number: Mapping[str, int]) -> DataFrame:
+    """``kind, key, n, first_id, first_name`` of the groups of interest."""
+    by_kind = F.col("kind")
     threshold = F.lit(None).cast("int")
     for kind in kinds:
-        threshold = F.when(F.col("kind") == number[kind.name], kind.threshold).otherwise(threshold)
-    return (
-        keys.groupBy("kind", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_id"),
-             F.max("kind").alias("counted_kind"))
-        .filter(F.col("n") >= threshold)
-    )
+        threshold = F.when(by_kind == number[kind.name], kind.threshold).otherwise(threshold)
+    size = F.count(F.lit(1)).alias("n")
+    named = [number[kind.name] for kind in kinds if kind.first_name]
+    plain = keys.filter(~by_kind.isin(named)).groupBy("kind", "key").agg(
+        size, F.min("row_id").alias("first_id")
+    ).withColumn("first_name", F.lit(None).cast("string"))
+    groups = plain
+    if named:
+        # The name comes along with the smallest id, so groups need not look it up.
+        first = F.min(F.struct("row_id", "name")).alias("first")
+        carried = keys.filter(by_kind.isin(named)).groupBy("kind", "key").agg(size, first).select(
+            "kind", "key", "n", F.col("first.row_id").alias("first_id"),
+            F.col("first.name").alias("first_name"))
+        groups = plain.unionByName(carried) if len(named) < len(kinds) else carried
+    return groups.filter(F.col("n") >= threshold)
 
 
 def _restrict(groups: DataFrame, number: int, table: DataFrame) -> DataFrame:
@@ -168,6 +182,7 @@ def _hot_keys(groups: DataFrame, salt_rows: int) -> DataFrame:
 def _join_back(keys: DataFrame, groups: DataFrame, hot: DataFrame, salt_rows: int) -> DataFrame:
     """Give each row the group of its key, spreading the rows of hot keys over salts."""
     salt = F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("salts")).cast("int"), F.lit(0))
+    keys = keys.drop("name")
     salted_keys = keys.join(F.broadcast(hot), ["kind", "key"], "left").select(
         "row_id", "kind", "key", salt.alias("salt")
     )

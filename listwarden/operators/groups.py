@@ -36,10 +36,11 @@ def batch_columns(listings: Listings) -> dict[str, Column]:
     """Submission day, and the reseller: its id, or its name if no row at all has an id."""
     reseller = F.col("reseller_id")
     if listings.has("reseller_id") and listings.has("reseller_name"):
-        # Asked of the whole input (one column of it), not of rows already selected.
+        # Asked of the whole input (one column of it, as far as the first id), not of rows
+        # already selected, and once, so that no later plan reads the input for it again.
         cell = text.clean_cell(F.col(f"in_{listings.fields['reseller_id']}"))
-        any_id = listings.source.agg(F.max(cell != "")).scalar()
-        reseller = F.when(any_id, reseller).otherwise(F.col("reseller_name"))
+        if listings.source.filter(cell != "").isEmpty():
+            reseller = F.col("reseller_name")
     elif listings.has("reseller_name"):
         reseller = F.col("reseller_name")
     return {

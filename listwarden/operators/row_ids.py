@@ -2,42 +2,80 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PARTITION_BITS = 33  # layout of monotonically_increasing_id
-
+from listwarden.operators.storage import stored
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+#: Files whose first ids may be broadcast; tables of more are copied.
+MAX_FILES = 100_000
+_PARTITION_BITS = 33  # layout of monotonically_increasing_id
+#: Plan nodes that neither repeat nor reorder the rows of a file.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View"}
 
 
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Add 0-based contiguous ids in scan order.
+    """Add 0-based contiguous ids in the order of the input.
 
-    Ids that several joins rely on must not change when a task is retried, so the table
-    is checkpointed to reliable storage first. Pass tables that have a key with that
-    key instead: they skip this copy.
+    Rows of Parquet files know their place: the id is the position in the file plus the rows of
+    all files before it, by path. Nothing is copied, reading again gives the same ids, and a plan
+    that uses few columns reads few. Other sources have no such place, and filtered files have
+    gaps: these are written once, since an id must not change when a task is retried.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    marked = df.withColumn("__mid", F.monotonically_increasing_id()).checkpoint()
+    placed = _by_file_position(df, name)
+    return _by_written_order(df, name) if placed is None else placed
+
+
+def _by_file_position(df: DataFrame, name: str) -> DataFrame | None:
+    if not _reads_files_row_by_row(df):
+        return None
+    try:
+        place = df.metadataColumn("_metadata")
+        marked = df.withColumns({"__file": place["file_path"], "__place": place["row_index"]})
+        sizes = marked.groupBy("__file").agg(
+            F.count(F.lit(1)).alias("n"), (F.max("__place") + 1).alias("span"))
+    except AnalysisException:  # no Parquet, so no positions
+        return None
+    files = sorted(tuple(row) for row in sizes.limit(MAX_FILES + 1).collect())
+    if len(files) > MAX_FILES or any(n != span for _, n, span in files):
+        return None
+    firsts = [0, *accumulate(n for _, n, _ in files)]
+    starts = df.sparkSession.createDataFrame(
+        [(path, first) for (path, _, _), first in zip(files, firsts)], "__path string, __first long")
+    return (
+        marked.join(F.broadcast(starts), F.col("__file") == F.col("__path"))  # <= MAX_FILES rows
+        .withColumn(name, F.col("__first") + F.col("__place"))
+        .drop("__file", "__place", "__path", "__first")
+    )
+
+
+def _reads_files_row_by_row(df: DataFrame) -> bool:
+    """Whether every row of df is a row of one file scan, none of them twice."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return False
+    node: JavaObject = plan.queryExecution().analyzed()
+    while node.nodeName() in _ROW_BY_ROW and node.children().size() == 1:
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def _by_written_order(df: DataFrame, name: str) -> DataFrame:
+    marked = stored(df.withColumn("__mid", F.monotonically_increasing_id()))
     partition = F.shiftright("__mid", _PARTITION_BITS)
     # One small row per task of the scan, which the driver tracks anyway.
     sizes = sorted(
         (row["p"], row["n"])
         for row in marked.groupBy(partition.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     )
-    offsets, total = [], 0
-    for number, size in sizes:
-        offsets.append((number, total))
-        total += size
-    starts = spark.createDataFrame(offsets, "__partition long, __start long")
+    firsts = [0, *accumulate(size for _, size in sizes)]
+    starts = df.sparkSession.createDataFrame(
+        [(number, first) for (number, _), first in zip(sizes, firsts)],
+        "__partition long, __start long")
     within = F.col("__mid").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     return (
         marked.join(F.broadcast(starts), partition == F.col("__partition"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwarden.operators.rules import FLAGS
 from listwarden.plans.scoring import OUTPUT_COLUMNS, TIERS
 
 # Cluster signals of the report, with the flag each one counts.
@@ -59,6 +60,40 @@ def flag_frequency(scored: DataFrame, top: int | None = None) -> DataFrame:
     return counts if top is None else counts.limit(top)
 
 
+def tallies() -> list[Column]:
+    """Aggregates over scored rows from which both reports can be made, for ``observe``.
+
+    One counter for each tier and flag, and ``other``: flags outside of the catalog, or named
+    twice in a row, which these counters miss.
+    """
+    named = F.filter(F.transform(F.split("flags_triggered", ","), F.trim), lambda f: f != "")
+    known = F.size(F.array_intersect(named, F.array(*[F.lit(flag) for flag in FLAGS])))
+    return [
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.col("risk_tier") == tier).alias(f"tier_{at}")
+          for at, tier in enumerate(TIERS)],
+        *[F.count_if(F.array_contains(named, flag)).alias(f"flag_{at}")
+          for at, flag in enumerate(FLAGS)],
+        F.coalesce(F.sum(F.size(named) - known), F.lit(0)).alias("other"),
+    ]
+
+
+def tier_summary_of(spark: SparkSession, seen: Mapping[str, int]) -> DataFrame:
+    """What ``tier_summary`` returns, from tallies."""
+    total = seen["total"]
+    rows = [(at + 1, tier, seen[f"tier_{at}"], seen[f"tier_{at}"] * 100.0 / total if total else 0.0,
+             total) for at, tier in enumerate(TIERS)]
+    schema = "position int, risk_tier string, records long, percent double, total long"
+    return spark.createDataFrame(rows, schema).coalesce(1)  # a row for each tier, in order
+
+
+def flag_frequency_of(spark: SparkSession, seen: Mapping[str, int]) -> DataFrame:
+    """What ``flag_frequency`` returns, from tallies without others."""
+    counts = [(flag, seen[f"flag_{at}"]) for at, flag in enumerate(FLAGS) if seen[f"flag_{at}"]]
+    counts.sort(key=lambda row: (-row[1], row[0]))
+    return spark.createDataFrame(counts, "flag string, n long").coalesce(1)  # in order
+
+
 def cluster_sizes(
     scored: DataFrame, signals: Iterable[str] | None = None, keep_empty: bool = True
 ) -> DataFrame:

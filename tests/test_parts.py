@@ -1,9 +1,13 @@
 """Configuration, fields, text, sources, sinks, residential upkeep, streams."""
 
+import os
+import subprocess
+import sys
 import unicodedata
 
 import data
 import pytest
+from conftest import ROOT
 from pyspark.sql import functions as F
 
 from listwarden import (
@@ -21,6 +25,7 @@ from listwarden.operators.frequency import _hot_keys
 from listwarden.operators.reference import with_zip_state
 from listwarden.operators.row_ids import with_row_ids
 from listwarden.plans import reports, residential
+from listwarden.sources.files import read_results
 from listwarden.streaming.local import ROW_LOCAL_FLAGS, stream_flags
 
 
@@ -54,9 +59,7 @@ def test_normalized_text(spark):
         spread = unicodedata.normalize("NFKD", (value or "").lower())
         return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in spread).split())
 
-    assert full == [expected(value) for value in values]
-    same = [value for value in values if value is None or "ﬁ" not in value]
-    assert [n for v, n in zip(values, native) if v in same] == [expected(v) for v in same]
+    assert native == full == [expected(value) for value in values]
 
 
 def test_quoted_lists(spark):
@@ -70,6 +73,26 @@ def test_row_ids_are_contiguous(spark):
     assert sorted(row.row_id for row in ids.collect()) == list(range(666))
 
 
+def test_row_ids_of_files_are_places(spark, tmp_path):
+    """Ids of Parquet rows follow files and places; only tables without places are copied."""
+    spark.range(0, 1000, 1, 7).withColumn("x y.z", F.col("id") % 7).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    ids = with_row_ids(table.toDF("a", "b"), "at")
+    assert sorted((row.at, row.a) for row in ids.collect()) == [(i, i) for i in range(1000)]
+    assert ids.columns == ["a", "b", "at"]
+    plan = ids.select("a", "at")._jdf.queryExecution().executedPlan().toString()
+    assert f"{tmp_path}/t" in plan and "x y.z" not in plan.split("ReadSchema")[1]
+    few = spark.range(10).withColumnRenamed("id", "k")
+    for other in (table.filter("id % 3 != 0"), table.filter("id < 150"), table.union(table),
+                  table.join(few, F.col("id") % 10 == F.col("k")), table.limit(50),
+                  table.select(F.explode(F.array("id", "id")).alias("id")), table.filter("id < 0")):
+        found = sorted(row.row_id for row in with_row_ids(other).collect())
+        assert found == list(range(other.count()))
+    table.write.csv(f"{tmp_path}/c", header=True)
+    lines = with_row_ids(spark.read.csv(f"{tmp_path}/c", header=True))
+    assert sorted(row.row_id for row in lines.collect()) == list(range(1000))
+
+
 def test_csv_keeps_empty_cells_and_refuses_other_files(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('name,phone,city\n"A, ""B""",,Rome\nshort\nNA,null,\n')
@@ -84,13 +107,65 @@ def test_written_results(spark, tmp_path, file_format):
     scored = score_listings(data.listings(spark), default_config(), id_col="row_id")
     folder = str(tmp_path / "out")
     write_results(scored, folder, file_format)
-    read = spark.read.parquet if file_format == "parquet" else (
-        lambda path: spark.read.csv(path, header=True, inferSchema=True))
-    assert read(f"{folder}/flagged").count() == 10
-    summary = {row.risk_tier: row.records for row in read(f"{folder}/summary").collect()}
-    assert sum(summary.values()) == 10 and len(summary) == 4
-    top = {row.flag: row.n for row in read(f"{folder}/top_flags").collect()}
-    assert top["HIGH_RISK_INDUSTRY"] == 9
+    flagged = read_results(spark, f"{folder}/flagged", scored.schema, file_format)
+    assert sorted(flagged.collect()) == sorted(scored.collect())
+    for name, report in (("summary", reports.tier_summary), ("top_flags", reports.flag_frequency)):
+        expected = report(scored)
+        written = read_results(spark, f"{folder}/{name}", expected.schema, file_format)
+        assert written.collect() == expected.collect() and written.columns == expected.columns
+
+
+def test_results_of_empty_tables_and_of_unknown_flags(spark, tmp_path):
+    rows = [(1, "a", "Clean", ""), (2, None, "Review", "NO_WEBSITE, HOUSE_RULE, PO_BOX"),
+            (3, "", "Review", "PO_BOX, PO_BOX")]
+    schema = "spam_score int, note string, risk_tier string, flags_triggered string"
+    for number, some in enumerate((rows, rows[:1], [])):
+        scored = spark.createDataFrame(some, schema)
+        for file_format in ("parquet", "csv"):
+            folder = str(tmp_path / f"{file_format}-{number}")
+            write_results(scored, folder, file_format)
+            got = read_results(spark, f"{folder}/flagged", scored.schema, file_format)
+            assert sorted(got.collect(), key=repr) == sorted(scored.collect(), key=repr)
+            for name, report in (("summary", reports.tier_summary),
+                                 ("top_flags", reports.flag_frequency)):
+                expected = report(scored)
+                written = read_results(spark, f"{folder}/{name}", expected.schema, file_format)
+                assert sorted(written.collect()) == sorted(expected.collect())
+
+
+REPEATED_TASKS = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession, functions as F
+from listwarden.sources.files import write_results
+from listwarden.plans import reports
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+rows = spark.range(0, 1000, 1, 4).selectExpr(
+    "id", "'Review' AS risk_tier", "if(id % 2 = 0, 'PO_BOX', '') AS flags_triggered", "1 AS spam_score")
+
+def once_more(batches):
+    for batch in batches:
+        yield batch
+    if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() % 2:
+        raise OSError("the first attempt fails after its rows")
+
+scored = rows.mapInArrow(once_more, rows.schema)
+write_results(scored, sys.argv[1])
+assert spark.read.parquet(sys.argv[1] + "/flagged").count() == 1000
+summary = {r.risk_tier: r.records for r in spark.read.parquet(sys.argv[1] + "/summary").collect()}
+assert summary == {"High Confidence Spam": 0, "Likely Spam": 0, "Review": 1000, "Clean": 0}, summary
+assert [tuple(r) for r in spark.read.parquet(sys.argv[1] + "/top_flags").collect()] == [("PO_BOX", 500)]
+"""
+
+
+def test_repeated_tasks_count_once(tmp_path):
+    """Tasks that fail after their rows and run again; needs a session that repeats tasks."""
+    done = subprocess.run(
+        [sys.executable, "-c", REPEATED_TASKS, str(tmp_path / "out")], cwd=tmp_path,
+        env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
 
 
 def test_reports_and_filters(spark):
