@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import cache
 
 import pandas as pd
@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from listwarden.functions.trie import longest_word, overlaps_itself
+
 #: Every character that counts as white space at the ends of a value.
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 #: A character that continues a word (letters and digits of any script, underscore).
@@ -139,6 +141,48 @@ def count_substring(text: Column, part: Column) -> Column:
     return F.floor(removed / F.nullif(F.length(part), F.lit(0))).cast("int")
 
 
+def repeated_words(text: Column, words: Sequence[str], times: int) -> Column:
+    """Those of some words, in their order, that occur so often without overlapping themselves.
+
+    One pass over the text finds the longest word at each place; shorter ones that it begins with
+    occur there as well. Only words that can overlap themselves are counted once more, and only
+    where they have enough places.
+    """
+    if not words:
+        return F.array().cast("array<string>")
+    firsts = "".join(sorted({re.escape(word[0]) for word in words}))
+    # the first character alone is taken, and the word looked at from before it
+    at_words = f"[{firsts}](?<=(?=({longest_word(words)}))[{firsts}])"
+    places = F.regexp_extract_all(text, F.lit(at_words), F.lit(1))
+    overlapping = [word for word in words if overlaps_itself(word)]
+
+    def chosen(runs: Column) -> Column:
+        def often(word: Column) -> Column:
+            count = F.aggregate(runs, F.lit(0), lambda sum_, run: sum_ + F.when(
+                F.startswith(run["value"], word), run["n"]).otherwise(0))
+            enough = count >= times
+            if overlapping:
+                enough &= ~word.isin(overlapping) | (count_substring(text, word) >= times)
+            return enough
+        return F.filter(F.array(*[F.lit(word) for word in words]), often)
+
+    return let(run_lengths(places), chosen)
+
+
+def run_lengths(values: Column) -> Column:
+    """How often each value of an array occurs: structs of value and n, in order of the values."""
+    def runs(ordered: Column) -> Column:
+        marked = F.transform(ordered, lambda value, at: F.when(
+            (at == 0) | (value != F.get(ordered, at - 1)),
+            F.struct(value.alias("value"), at.alias("at"))))
+        return let(F.filter(marked, lambda start: start.isNotNull()), lambda starts: F.transform(
+            starts, lambda start, at: F.struct(
+                start["value"].alias("value"),
+                (F.coalesce(F.get(starts, at + 1)["at"], F.size(ordered)) - start["at"]).alias("n"))))
+
+    return let(F.sort_array(values), runs)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, also when used inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

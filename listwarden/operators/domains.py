@@ -1,8 +1,8 @@
-"""Registrable domains by longest public suffix, without shuffling the listings.
+"""Registrable domains by longest public suffix, without a join.
 
-The suffix table is a small bounded dimension, so every depth of a host is looked up
-with a broadcast join in place: no explode, no regrouping, and a host that holds a
-third of all rows costs no more than any other.
+The suffix rules, a small bounded list, become one pattern over the labels of a host in
+reverse. Rules share their beginnings in it, so a host is matched once from its end, however
+many rules there are and however deep they go.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwarden.functions.contact import label_count, last_labels
+from listwarden.functions.trie import pattern_of
 
 #: The whole public list has about 10,000 rules; more than this is not a suffix list.
 MAX_SUFFIX_RULES = 100_000
@@ -27,23 +28,24 @@ STARTER_SUFFIXES = (
 
 
 class PublicSuffixes:
-    """Suffix rules prepared for lookup. Size is checked once, on construction."""
+    """Suffix rules prepared for matching. Their number is checked once, on construction."""
 
     def __init__(self, rules: DataFrame):
         """``rules`` has ``suffix`` and ``kind`` (normal, wildcard or exception)."""
-        text = F.lower(F.col("suffix"))
-        self.table = rules.groupBy(text.alias("suffix")).agg(
-            F.max(F.col("kind") == "normal").alias("plain"),
-            F.max(F.col("kind") == "wildcard").alias("wildcard"),
-            F.max(F.col("kind") == "exception").alias("exception"),
-        )
-        size = rules.limit(MAX_SUFFIX_RULES + 1).agg(
-            F.count(F.lit(1)).alias("rules"),
-            F.max(label_count(text)).alias("depth"),
-        ).first()
-        if size.rules > MAX_SUFFIX_RULES:
+        rows = rules.select(F.lower("suffix").alias("suffix"), "kind").filter(
+            "suffix <> ''").limit(MAX_SUFFIX_RULES + 1).collect()
+        if len(rows) > MAX_SUFFIX_RULES:
             raise ValueError(f"More than {MAX_SUFFIX_RULES} public suffix rules")
-        self.depth = size.depth or 0
+        kinds: dict[str, set[str]] = {}
+        for row in rows:
+            kinds.setdefault(row.suffix[::-1], set()).add(row.kind)
+        # A wildcard stands for one label more, so it goes before the rule as it is.
+        self.longest = _pattern({
+            suffix: [tail for kind, tail in _TAILS if kind in found]
+            for suffix, found in kinds.items()})
+        self.exceptions = _pattern(
+            {suffix: [_END] for suffix, found in kinds.items() if "exception" in found},
+            tails_first=True)
 
     @classmethod
     def from_rules(cls, spark: SparkSession, rules: Iterable[str] = STARTER_SUFFIXES):
@@ -52,6 +54,16 @@ class PublicSuffixes:
                                          "suffix string, kind string"))
 
 
+#: The end of a label, read from the end of a host.
+_END = r"(?=\.|$)"
+_TAILS = (("wildcard", r"\.[^.]+" + _END), ("normal", _END))
+
+
+def _pattern(tails: Mapping[str, list[str]], tails_first: bool = False) -> str | None:
+    some = {suffix: found for suffix, found in tails.items() if found}
+    return "^" + pattern_of(some, tails_first) if some else None
+
+
 def _parse(rule: str) -> tuple[str, str]:
     if rule.startswith("!"):
         return rule[1:], "exception"
@@ -64,26 +76,22 @@ def with_registrable_domains(
     df: DataFrame, hosts: Mapping[str, Column], suffixes: PublicSuffixes
 ) -> DataFrame:
     """Add one column per entry: domain plus suffix of that host, '' if either is missing."""
-    passthrough = df.columns
-    result = df
-    domains = {}
-    for number, (name, host) in enumerate(hosts.items()):
-        labels = label_count(host)
-        exceptions, matches = [], []
-        for depth in range(1, suffixes.depth + 1):
-            mark = f"__sfx_{number}_{depth}"
-            tail = F.when(labels >= depth, F.substring_index(host, ".", -depth))
-            rule = suffixes.table.select(
-                F.col("suffix").alias(f"{mark}_key"),
-                F.struct("plain", "wildcard", "exception").alias(mark),
-            )
-            result = result.join(F.broadcast(rule), tail == F.col(f"{mark}_key"), "left")
-            exceptions.append(F.when(F.col(f"{mark}.exception"), F.lit(depth - 1)))
-            matches.append(F.when(F.col(f"{mark}.plain"), F.lit(depth)))
-            matches.append(
-                F.when(F.col(f"{mark}.wildcard") & (labels > depth), F.lit(depth + 1))
-            )
-        longest = F.greatest(F.lit(None).cast("int"), F.lit(None).cast("int"), *matches)
-        depth = F.coalesce(*exceptions, longest) if exceptions else longest
+    # Each step is a projection of its own, so that every pattern is matched once.
+    reversed_ = {f"__{name}": F.reverse(host) for name, host in hosts.items()}
+    depths, domains = {}, {}
+    for name, host in hosts.items():
+        depths[f"__{name}"] = _suffix_depth(F.col(f"__{name}"), suffixes)
+        labels, depth = label_count(host), F.col(f"__{name}")
         domains[name] = F.when(labels > depth, last_labels(host, depth + 1)).otherwise("")
-    return result.select(*passthrough, *[c.alias(name) for name, c in domains.items()])
+    return df.withColumns(reversed_).withColumns(depths).withColumns(domains).drop(*reversed_)
+
+
+def _suffix_depth(host: Column, suffixes: PublicSuffixes) -> Column:
+    """Labels of the public suffix of a host given in reverse; null without a suffix."""
+    none = F.lit(None).cast("int")
+
+    def labels(pattern: str | None) -> Column:
+        return none if pattern is None else F.nullif(
+            label_count(F.regexp_extract(host, pattern, 0)), F.lit(0))
+
+    return F.coalesce(labels(suffixes.exceptions) - 1, labels(suffixes.longest))

@@ -334,19 +334,13 @@ def description_hits(cfg: RiskConfig) -> Column:
     none = F.array().cast("array<string>")
     city = F.lower("city")
 
-    def repeats(body: Column, word: Column, times: int) -> Column:
-        # Most words are absent, and looking for one is cheaper than counting it.
-        return F.contains(body, word) & (text.count_substring(body, word) >= times)
-
     def hits(body: Column) -> Column:
+        # Most cities are absent, and looking for one is cheaper than counting it.
+        count = F.when((city != "") & F.contains(body, city), text.count_substring(body, city))
         city_hit = F.when(
-            (city != "") & repeats(body, city, 3),
-            F.array(_say("city '", city, "' ×", text.count_substring(body, city).cast("string"))),
+            count >= 3, F.array(_say("city '", city, "' ×", count.cast("string")))
         ).otherwise(none)
-        if not services:
-            return city_hit
-        words = F.array(*[F.lit(word) for word in services])
-        return F.concat(city_hit, F.filter(words, lambda word: repeats(body, word, 2)))
+        return F.concat(city_hit, text.repeated_words(body, services, 2))
 
     return F.when(
         F.length("any_description") >= MIN_DESCRIPTION,

@@ -220,7 +220,9 @@ def _evaluate(
     planned = rules.plan_rules(cfg, listings, available, flags)
     needs = {need for rule in planned for need in rule.needs} | set(extra)
 
-    rows = prepared_listings(listings, cfg, references, needs, options.full_nfkd)
+    if "domain" in needs:
+        needs.add("site_domain")
+    rows = prepared = prepared_listings(listings, cfg, references, needs, options.full_nfkd)
     if "zip_dim" in needs:
         rows = with_zip_state(rows, F.col("zip5"), references.zip_dim, "zip_state")
     if "area_code_dim" in needs:
@@ -240,9 +242,8 @@ def _evaluate(
             {_detail(rule): F.when(F.col(_mark(rule)), rule.detail) for rule in local})
     if listings.given_ids and options.check_ids and not listings.table.isStreaming:
         _require_unique(listings.table)
-    for_keys = group_needs | ({"site_domain"} if "domain" in group_needs else set())
     evidence = group_evidence(
-        prepared_listings(listings, cfg, references, for_keys, options.full_nfkd),
+        prepared,
         group_kinds(cfg, listings, group_needs, options.compare_cols),
         known={"rdi": residential_keys(references.rdi)} if "rdi" in needs else None,
         first_name=F.col("name_key"),
