@@ -8,7 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden import PublicSuffixes, References, RiskConfig, default_config
+from listwarden import PublicSuffixes, References, RiskConfig, TierThresholds, default_config
+from listwarden.operators.storage import shared_folder
 
 COPY_OFFSET = 100_000_000
 SUFFIXES = ("com", "net", "org")
@@ -19,19 +20,25 @@ COMPARED = (
     "photo_gallery", "x_handle", "hours_monday", "year_established", "address_hidden",
     "service_area", "landing_page_url",
 )
+#: Lowest scores of the tiers: each tier has a good part of the listings.
+REVIEW, LIKELY, HIGH = 24, 30, 36
 #: Fragments that repeat in the invented prose of the documents.
 PROSE_WORDS = ("tion", "ment", "elle", "lich", "ther", "eaux")
 
 
 def fixture_config(**overrides) -> RiskConfig:
     settings = {
-        "high_risk_industries": ("machinery", "building", "widget", "ring", "economy"),
+        # Prose words come last: they occur in descriptions, but in no name or industry.
+        "high_risk_industries": ("machinery", "building", "widget", "ring", "economy",
+                                 *PROSE_WORDS),
         "spam_name_keywords": ("small", "red", "economy"),
         "lead_gen_domains": ("spam-farm.example.org",),
         "generic_website_builders": ("example.net",),
         "shared_phone_threshold": 15,
         "shared_address_threshold": 15,
         "batch_submission_threshold": 5,
+        "score_thresholds": TierThresholds(
+            review=REVIEW, likely_spam=LIKELY, high_confidence_spam=HIGH),
         "as_of": date(2000, 1, 1),
     }
     return default_config().replace(**{**settings, **overrides})
@@ -41,12 +48,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores although a table is one small file; a large table is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _rows(table: DataFrame) -> Column:
     """Row count of a table, as a scalar subquery."""
     return table.agg(F.count(F.lit(1))).scalar()
@@ -61,7 +62,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, pages, documents = (read(spark, sf_dir, name) for name in ("part", "pages", "documents"))
     k = F.col("o_orderkey")
     rows = (
-        spread(read(spark, sf_dir, "orders"))
+        read(spark, sf_dir, "orders")
+        .repartition("o_orderkey")  # so that one file of orders is work for all tasks
         .withColumns({
             "part_ref": k % _rows(part),
             "page_ref": k % _rows(pages),
@@ -111,7 +113,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         email.alias("email"),
         _when_multiple(9, "", F.col("c_name")).alias("owner_name"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_added"),
-        _when_multiple(10, "", join("R", F.col("o_custkey") % 3)).alias("reseller_id"),
+        _when_multiple(10, "", F.when(k % 7 == 1, join("S", cust % 20)).otherwise(
+            join("R", cust % 3))).alias("reseller_id"),
         _when_multiple(31, "", F.col("text")).alias("description"),
         _when_multiple(6, "", join(
             F.replace(F.col("p_name"), F.lit(" "), F.lit(",")), ",", types, ",", segment,
@@ -131,9 +134,8 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder, or else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/{uuid.uuid4().hex}"
+    """A fresh folder in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stored_listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ INPUT = ("row_id, business_name, address, city, state, zip, phone, website, indu
          "hours_monday, year_established, address_hidden, service_area, landing_page_url")
 COMPARED = INPUT.removeprefix("row_id, ")
 
-RISK = "machinery|building|widget|ring|economy"
+RISK = "machinery|building|widget|ring|economy|tion|ment|elle|lich|ther|eaux"
 SPAM = "small|red|economy"
 FREE = ("'gmail.com','yahoo.com','hotmail.com','outlook.com','aol.com','icloud.com',"
         "'mail.com','protonmail.com','ymail.com','live.com'")
@@ -41,7 +41,8 @@ once AS (
          ELSE 'c' || c_custkey || '@example.com' END AS email,
     CASE WHEN k%9=0 THEN '' ELSE c_name END AS owner_name,
     strftime(o_orderdate, '%Y-%m-%d') AS date_added,
-    CASE WHEN k%10=0 THEN '' ELSE 'R' || (o_custkey%3) END AS reseller_id,
+    CASE WHEN k%10=0 THEN '' WHEN k%7=1 THEN 'S' || (c_custkey%20) ELSE 'R' || (c_custkey%3)
+    END AS reseller_id,
     CASE WHEN k%31=0 THEN '' ELSE d.text END AS description,
     CASE WHEN k%6=0 THEN '' ELSE replace(p_name,' ',',') || ',' || p_type
          || CASE WHEN k%4=0 THEN ',' || p_type || ',' || p_type ELSE '' END
@@ -358,17 +359,14 @@ def with_tables(query: str, *extras: str) -> str:
     return "WITH " + ",".join(part.strip() for part in parts) + "\n" + query
 
 
-def _flag_rows(flag: str, spec: tuple | None = None) -> str:
-    order, weight, source, condition, evidence, _ = spec or FLAGS[flag]
+def _flag_rows(flag: str) -> str:
+    order, weight, source, condition, evidence, _ = FLAGS[flag]
     return (f"SELECT row_id, {order} AS ord, '{flag}' AS flag, {weight} AS weight, "
             f"{evidence} AS detail FROM {source} WHERE {condition}")
 
 
-def flag_sql(flag: str, words=None) -> str:
-    spec = FLAGS[flag]
-    if words:
-        spec = (*spec[:2], *_stuffed(words), ())
-    return with_tables(_flag_rows(flag, spec), *spec[5])
+def flag_sql(flag: str) -> str:
+    return with_tables(_flag_rows(flag), *FLAGS[flag][5])
 
 
 ALL_EXTRAS = ("groups", "dims", "copies", "near", "keywords")
@@ -393,9 +391,9 @@ scored0 AS (
            AS is_duplicate_of_row
   FROM listings l LEFT JOIN per_row USING (row_id) JOIN copies USING (row_id)),
 scored AS (
-  SELECT *, CASE WHEN spam_score >= 15 THEN 'High Confidence Spam'
-                 WHEN spam_score >= 9 THEN 'Likely Spam'
-                 WHEN spam_score >= 7 THEN 'Review' ELSE 'Clean' END AS risk_tier
+  SELECT *, CASE WHEN spam_score >= 36 THEN 'High Confidence Spam'
+                 WHEN spam_score >= 30 THEN 'Likely Spam'
+                 WHEN spam_score >= 24 THEN 'Review' ELSE 'Clean' END AS risk_tier
   FROM scored0)
 {query}"""
     return with_tables(tail, *extras)

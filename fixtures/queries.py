@@ -216,7 +216,7 @@ def rdi_for_batch(spark, sf_dir):
 def clean_cells(spark, sf_dir):
     """Whole document texts, coated with white space that cleaning removes."""
     coated = F.concat(F.lit(" \t "), F.col("text"), F.lit("\n　\x0b"))
-    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
+    return fx.read(spark, sf_dir, "documents").select(
         "doc_id", text.clean_cell(coated).alias("cell")
     )
 
@@ -234,7 +234,7 @@ def _folded(column: str) -> str:
        " AS normalized FROM documents")
 def normalized_text(spark, sf_dir):
     """Whole document texts as plain words, accents split off."""
-    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
+    return fx.read(spark, sf_dir, "documents").select(
         "doc_id", text.normalize_text(F.col("text")).alias("normalized")
     )
 
@@ -264,7 +264,7 @@ def legal_suffixes(spark, sf_dir):
 @query("SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM documents")
 def phone_digits(spark, sf_dir):
     """Digits of whole document texts."""
-    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
+    return fx.read(spark, sf_dir, "documents").select(
         "doc_id", contact.digits_only(F.col("text")).alias("digits")
     )
 
@@ -288,7 +288,7 @@ FROM (SELECT page_id, {oracle._host('url')} AS host FROM pages)"""
 @query(_ALL_KINDS_SQL)
 def registrable_domains(spark, sf_dir):
     """Domains of page URLs under plain, wildcard and exception suffix rules."""
-    pages = fx.spread(fx.read(spark, sf_dir, "pages")).select(
+    pages = fx.read(spark, sf_dir, "pages").select(
         "page_id", contact.host_of(F.col("url")).alias("host")
     )
     suffixes = PublicSuffixes.from_rules(spark, fx.SUFFIXES_ALL_KINDS)
@@ -298,7 +298,7 @@ def registrable_domains(spark, sf_dir):
 @query(f"SELECT page_id, {oracle._host('url')} AS host FROM pages")
 def full_hosts(spark, sf_dir):
     """Hosts of page URLs."""
-    return fx.spread(fx.read(spark, sf_dir, "pages")).select(
+    return fx.read(spark, sf_dir, "pages").select(
         "page_id", contact.host_of(F.col("url")).alias("host")
     )
 
@@ -319,7 +319,7 @@ def keyword_matches(spark, sf_dir):
     """First hit and number of hits of a word list in whole document texts."""
     pattern = text.any_of(fx.PROSE_WORDS)
     return (
-        fx.spread(fx.read(spark, sf_dir, "documents"))
+        fx.read(spark, sf_dir, "documents")
         .select("doc_id", F.lower("text").alias("body"))
         .filter(F.col("body").rlike(pattern))
         .select("doc_id", F.regexp_extract("body", pattern, 0).alias("first"),
@@ -331,7 +331,7 @@ def keyword_matches(spark, sf_dir):
        "FROM documents")
 def substring_counts(spark, sf_dir):
     """Non-overlapping occurrences in whole document texts."""
-    return fx.spread(fx.read(spark, sf_dir, "documents")).select(
+    return fx.read(spark, sf_dir, "documents").select(
         "doc_id", text.count_substring(F.col("text"), F.lit("ti")).cast("long").alias("hits")
     )
 
@@ -433,20 +433,17 @@ def _flag_query(flag: str) -> None:
     tables = [name for name in ("zip_dim", "area_code_dim", "rdi") if name in needs]
     if {"site_domain", "landing_domain"} & set(needs):
         tables.append("suffixes")
-    words = fx.PROSE_WORDS if flag == "DESCRIPTION_KEYWORD_STUFFED" else None
-    cfg = fx.fixture_config(high_risk_industries=words) if words else CFG
-
     source = fx.stored_listings if set(needs) & set(GROUP_NEEDS) else fx.listings
 
     def run(spark, sf_dir):
         references = fx.references(spark, sf_dir, *tables) if tables else fx.References()
         return flag_table(
-            source(spark, sf_dir), cfg, references, "row_id", OPTIONS, flags=[flag]
+            source(spark, sf_dir), CFG, references, "row_id", OPTIONS, flags=[flag]
         )
 
     run.__name__ = f"flag_{flag.lower()}"
     run.__doc__ = f"Listings that get {flag}, with the evidence."
-    query(oracle.flag_sql(flag, words))(run)
+    query(oracle.flag_sql(flag))(run)
 
 
 for _flag in FLAGS:

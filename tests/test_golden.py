@@ -100,6 +100,33 @@ def test_no_python_and_no_cartesian_product_in_the_plan(spark):
     assert flags == {8}
 
 
+def test_listings_are_read_once(spark, tmp_path):
+    """The returned plan reads the listings once; their keys come from the table written before."""
+    data.listings(spark).write.parquet(f"{tmp_path}/listings")
+    table = spark.read.parquet(f"{tmp_path}/listings")
+    for id_col in ("row_id", None):
+        source = table if id_col else table.drop("row_id")
+        scored = score_listings(source, default_config(), data.references(spark), id_col, OPTIONS)
+        flags = flag_table(source, default_config(), data.references(spark), id_col, OPTIONS)
+        # rules that need groups and those that do not are two plans in one
+        for plan, most in ((scored, 1), (flags, 2)):
+            files = [name for name in _scans(plan) if "/listings" in name]
+            assert 1 <= len(files) <= most, files
+        assert scored.count() == len(data.ROWS)
+
+
+def _scans(df):
+    """The files that each scan of a plan reads."""
+    nodes, found = [df._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "LogicalRelation":
+            found.append(node.relation().location().rootPaths().mkString())
+        children = node.children()
+        nodes += [children.apply(at) for at in range(children.size())]
+    return found
+
+
 def test_empty_table(spark):
     from listwarden.plans.reports import flag_frequency, reseller_breakdown, tier_summary
 
