@@ -41,10 +41,13 @@ IBAN_LENGTHS = {
 _LISTED = "|".join(codes.replace(" ", "|") for codes in IBAN_LENGTHS.values())
 _BY_COUNTRY = "|".join(
     rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
-_DOMAIN = r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# No label is empty. What is repeated has one length, as the matcher goes through other groups by recursion.
+_DOMAIN = r"@(?:[A-Za-z0-9.-](?<![.@]\.))*(?<![.@])\.[A-Za-z]{2,}"
+# An address begins with the first letter or digit of a run: what begins later ends at the same place.
+_LOCAL = r"(?:(?<![._%+-])|(?<![A-Za-z0-9][._%+-]{1,64}))[A-Za-z0-9][A-Za-z0-9._%+-]*+"
 #: Patterns of the candidates by kind; all are tried in this order at each place of a text.
 PATTERNS = {
-    "email": [r"[A-Za-z0-9][A-Za-z0-9._%+-]*+" + _DOMAIN],
+    "email": [_LOCAL + _DOMAIN],
     "secret": [
         r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,}+(?!" + _DOMAIN + ")",
         r"\bAKIA[A-Z0-9]{16}\b",
@@ -127,38 +130,39 @@ def permute_text(text: Column, key: str, kind: str) -> Column:
     Letters of a string of hexadecimal digits stay below g. The halves take turns: to each
     character of one half a keyed hash of the other half is added within the class.
     """
-    n = F.length(text)
-    cut = F.floor(n / 2).cast("int")
-    letters = F.when(text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(6)).otherwise(F.lit(26))
-
-    def shifted(half: Column, other: Column, r: Column) -> Column:
-        def add(half: Column, blocks: Column) -> Column:
-            return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), lambda c, i: one(c, i, blocks)), "")
-
-        def one(c: Column, i: Column, blocks: Column) -> Column:
-            amount = F.conv(F.substr(F.get(blocks, F.floor(i / 16).cast("int")), F.pmod(i, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("long")
-            return _let(amount, lambda a: turned(c, a))
-
-        def turned(c: Column, amount: Column) -> Column:
-            out = c
-            for members, size in ((_LOWER, letters), (_UPPER, letters), (_DIGITS, F.lit(10))):
-                place = F.instr(F.lit(members), c) - 1
-                moved = F.substr(F.lit(members), (_mod(place + amount, size) + 1).cast("int"), F.lit(1))
-                out = F.when(place >= 0, moved).otherwise(out)
-            return out
-
-        keyed = F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 16).cast("int")), lambda b: F.sha2(
-            F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), b.cast("string"), F.lit("|"), other), 256))
-        return _let(keyed, lambda found: add(half, found))
-
-    def step(s: Column, r: Column) -> Column:
-        even = r % 2 == 0
-        return F.struct(
-            F.when(even, shifted(s.a, s.b, r)).otherwise(s.a).alias("a"),
-            F.when(even, s.b).otherwise(shifted(s.b, s.a, r)).alias("b"),
-        )
-    start = F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substr(text, cut + 1).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda out: F.concat(out.a, out.b))
+    cut = F.floor(F.length(text) / 2).cast("int")
+    hexadecimal = F.when(text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(6)).otherwise(F.lit(26))
+
+    def turned(c: Column, amount: Column, letters: Column) -> Column:
+        out = c
+        for members, size in ((_LOWER, letters), (_UPPER, letters), (_DIGITS, F.lit(10))):
+            place = F.instr(F.lit(members), c) - 1
+            moved = F.substr(F.lit(members), (_mod(place + amount, size) + 1).cast("int"), F.lit(1))
+            out = F.when(place >= 0, moved).otherwise(out)
+        return out
+
+    def shifted(half: Column, other: Column, r: Column, letters: Column) -> Column:
+        # what all blocks depend on is computed once, and the other half read once
+        seed = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), other), 256)
+        amounts = lambda found: F.flatten(F.transform(found, lambda block: F.transform(
+            F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda at: F.conv(F.substr(block, at, F.lit(4)), 16, 10).cast("long"))))
+        blocks = _let(seed, lambda s: F.transform(
+            F.sequence(F.lit(0), F.floor(F.length(half) / 16).cast("int")), lambda b: F.sha2(F.concat(s, b.cast("string")), 256)))
+        chars = F.filter(F.split(half, ""), lambda c: c != "")
+        return _let(blocks, lambda found: _let(amounts(found), lambda a: F.array_join(
+            F.transform(chars, lambda c, i: _let(F.get(a, i), lambda amount: turned(c, amount, letters))), "")))
+
+    def rounds(letters: Column) -> Column:
+        def step(s: Column, r: Column) -> Column:
+            even = r % 2 == 0
+            return F.struct(
+                F.when(even, shifted(s.a, s.b, r, letters)).otherwise(s.a).alias("a"),
+                F.when(even, s.b).otherwise(shifted(s.b, s.a, r, letters)).alias("b"),
+            )
+        start = F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substr(text, cut + 1).alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda out: F.concat(out.a, out.b))
+
+    return _let(hexadecimal, rounds)
 
 
 def _digits(text: Column) -> Column:
@@ -355,9 +359,11 @@ def _pseudonymised(text: Column, key: str) -> Column:
         F.split(whole, EVERY, -1), lambda pieces: F.when(F.size(pieces) > 1, worked(whole, pieces))))
 
 
-def with_pseudonyms(docs: DataFrame, key: str = "public test key") -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """docs with its text pseudonymised, and a column `found`: an array of the kinds, in order.
 
+    Whoever has the key can undo the permutation, so it is to be kept like a password.
+
     Null text stays null with no finds, and so do empty texts; texts without personal data stay as
     they are. Rows are independent: repeated rows stay repeated, other columns (of any name but
     `found`, which is replaced) pass through, an empty table stays empty.
