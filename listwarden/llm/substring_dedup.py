@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwarden.llm.storage import stored
-from listwarden.llm.words import _BASE, _INVERSE, Words, _powers, mix, ngrams, signed, slices, split_words
+from listwarden.llm.words import Words, mix, ngrams, signed, slices, spans, split_words
 
 EDGE, MARK = 13, 7
 _U = np.uint64
@@ -56,8 +56,7 @@ def _paths(w: Words, documents: np.ndarray) -> dict[str, np.ndarray]:
     at = np.flatnonzero(new)
     edges = np.diff(np.append(at, len(owner)))
     begin, end = start[at], start[at] + edges + EDGE - 1
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(w.hashes + _U(1)) * _powers(_BASE, max(1, len(w.hashes))))])
-    digest = mix((total[end] - total[begin]) * _powers(_INVERSE, max(1, len(w.hashes)))[begin] + edges.astype(_U))
+    digest = spans(w.hashes, begin, end - begin, seed=1)
     owner = owner[at]
     return {"key": signed(least[at]), "path": signed(digest), "doc_id": documents[owner], "at": begin - w.first[owner], "edges": edges}
 

@@ -14,10 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes worked on at a time: bounds the memory for 64-bit intermediates.
-SLICE_BYTES = 2_000_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+SLICE_BYTES = 250_000
+#: Places in a word whose terms are kept in a table.
+_NEAR = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(9, 14)]] = True
 
@@ -40,33 +40,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _terms(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return mix((places.astype(np.uint64) << np.uint64(8) | values.astype(np.uint64)) + _STEP)
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_TABLE = _terms(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256), _NEAR))
 
 
 def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per word the sum of pseudo-random terms, one for each byte and its place in the word.
+
+    There is no relation between terms, so no arrangement of bytes cancels out, as it can where
+    terms are powers modulo 2^64.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         low = starts[at]
         stop = max(at + 1, int(np.searchsorted(ends, low + SLICE_BYTES, side="right")))
-        part = data[low : ends[stop - 1]]
-        if len(_POWERS[0]) <= len(part):
-            _POWERS[:] = [_powers(_BASE, len(part) + 1), _powers(_INVERSE, len(part) + 1)]
-        prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(part)], out=prefix[1:])
         s, e = starts[at:stop] - low, ends[at:stop] - low
-        # the length sets apart words that differ in leading or trailing zero terms
-        out[at:stop] = mix((prefix[e] - prefix[s]) * _POWERS[1][s] + (e - s).astype(np.uint64) * np.uint64(_BASE >> 7))
+        out[at:stop] = mix(_sums(data[low : ends[stop - 1]], s, e) + (e - s).astype(np.uint64) * _STEP)
         at = stop
     return out
 
 
+def _sums(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if len(starts) == 1 and len(part) > SLICE_BYTES:  # one very long word, in parts
+        whole = np.zeros(1, np.uint64)
+        for at in range(0, len(part), SLICE_BYTES):
+            some = part[at : at + SLICE_BYTES]
+            whole += _terms(np.arange(at, at + len(some)), some).sum(dtype=np.uint64)
+        return whole
+    sizes = ends - starts
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    value = part[place + np.repeat(starts, sizes)]
+    terms = _TABLE[np.minimum(place, _NEAR - 1) << 8 | value]
+    far = np.flatnonzero(place >= _NEAR)
+    for i in range(0, len(far), SLICE_BYTES):
+        some = far[i : i + SLICE_BYTES]
+        terms[some] = _terms(place[some], value[some])
+    return np.add.reduceat(terms, np.cumsum(sizes) - sizes)
+
+
 def split_words(texts: pa.Array) -> Words:
     """The words of every text, whole texts, in order."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -93,10 +108,22 @@ def ngrams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of each n consecutive words, by first word; the caller drops those across texts."""
     count = max(0, len(hashes) - n + 1)
     out = np.full(count, seed, np.uint64)
-    factor = 1
-    for i in range(n):
-        factor = factor * _BASE & _MASK
-        out += hashes[i : i + count] * np.uint64(factor)
+    for i, factor in enumerate(_factors(n)):
+        out += hashes[i : i + count] * factor
+    return mix(out)
+
+
+def _factors(n: int) -> np.ndarray:
+    """Unrelated odd numbers, one for each place."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+
+
+def spans(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of spans of several words each; spans are short, so words are gone through by place."""
+    out = sizes.astype(np.uint64) * _STEP + np.uint64(seed)
+    for i, factor in enumerate(_factors(int(sizes.max()) if len(sizes) else 0)):
+        has = np.flatnonzero(sizes > i)
+        out[has] += mix(hashes[starts[has] + i] + np.uint64(seed)) * factor
     return mix(out)
 
 
