@@ -26,6 +26,8 @@ from listwarden.llm.storage import stored
 THRESHOLD = 0.98
 #: Sampled pivots of each vector length, nearest pivots kept, vectors of a block.
 PIVOTS, NEAREST, BLOCK = 128, 7, 512
+#: Vector lengths that get pivots, each by a job of its own; vectors of further ones are compared in full.
+INDEXED = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -37,13 +39,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def pivots(vectors: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Per vector length, unit vectors of `most` pivots; of the 64 most frequent lengths.
+    """Per vector length, unit vectors of `most` pivots; of the INDEXED most frequent lengths.
+
+    Vectors of other lengths have no pivots; all of one label and length share one list.
 
     They are picked from the 4 * `most` rows of smallest hash, each the one farthest from those
     before, so that a dense group does not fill them: its order of nearest pivots would be random.
     """
     hashed = vectors.select("embedding", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("hash"))
-    sizes = hashed.groupBy("dim").agg(F.countDistinct("hash").alias("n")).orderBy(F.desc("n")).limit(64).collect()
+    sizes = hashed.groupBy("dim").agg(F.countDistinct("hash").alias("n")).orderBy(F.desc("n"), "dim").limit(INDEXED).collect()
     out = {}
     for row in sizes:
         sample = hashed.filter(F.col("dim") == row.dim).dropDuplicates(["hash"]).orderBy("hash").limit(4 * most).collect()
@@ -99,15 +103,16 @@ def _link_blocks(rows: pa.Table) -> pa.Table:
     p, q, low, high = (rows.column(c)[0].as_py() for c in ("p", "q", "low", "high"))
     ids, copies, block = (rows.column(c).to_numpy() for c in ("vec_id", "n", "block"))
     points = _unit(_matrix(rows.column("embedding").combine_chunks()))
-    near = _matrix(rows.column("near").combine_chunks()).astype(np.int64)
     linked = points @ points.T >= THRESHOLD
     np.fill_diagonal(linked, False)
     if low < high:
         linked &= block[:, None] != block[None, :]
-    sees = np.zeros((len(rows), q + 1), np.float32)
-    who, what = np.nonzero(near < q)
-    sees[who, near[who, what]] = 1
-    linked &= (sees @ sees.T) == 1  # of the pivots below q they share p alone: their first list
+    if p < q:  # else the list of all vectors of a length without pivots
+        near = _matrix(rows.column("near").combine_chunks()).astype(np.int64)
+        sees = np.zeros((len(rows), q + 1), np.float32)
+        who, what = np.nonzero(near < q)
+        sees[who, near[who, what]] = 1
+        linked &= (sees @ sees.T) == 1  # of the pivots below q they share p alone: their first list
     links = (linked * copies[None, :]).sum(axis=1)
     label = ids.copy()
     while True:
@@ -132,7 +137,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = stored(good.groupBy("label", "hash", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     described = stored(describe(classes.withColumnRenamed("rep", "vec_id"), pivots(classes)))
     pairs = F.expr(
-        "flatten(transform(near, p -> transform(filter(near, q -> q > p), q -> named_struct('p', p, 'q', q))))")
+        "if(size(near) = 0, array(named_struct('p', -1, 'q', -1)),"
+        " flatten(transform(near, p -> transform(filter(near, q -> q > p), q -> named_struct('p', p, 'q', q)))))")
     lists = described.withColumn("key", F.explode(pairs)).select("label", F.size("embedding").alias("dim"), "key.p", "key.q", "vec_id")
     sizes = lists.groupBy("label", "dim", "p", "q").agg(F.count("*").alias("size")).filter("size > 1")
     placed = lists.join(sizes, ["label", "dim", "p", "q"])

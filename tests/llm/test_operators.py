@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -68,7 +69,7 @@ def test_pii(frame):
     clean = ["4785380592391138 is no card", "999.1.1.300", "2024-13-45", "secret: something", "plain words", None, ""]
     texts = [f"see {v}, then {w}." for v, w in zip(values, reversed(values), strict=True)] + clean
     source = frame(texts)
-    out = {r.doc_id: r for r in pii.with_pseudonyms(source).collect()}
+    out = {r.doc_id: r for r in pii.with_pseudonyms(source, "k").collect()}
     for i, text in enumerate(texts):
         if i >= len(values):
             assert out[i].text == text and out[i].found == []
@@ -80,7 +81,7 @@ def test_pii(frame):
     second = {i: out[i].text.split(", then ")[1][:-1] for i in range(len(values))}
     assert [first[i] for i in range(9)] == [second[8 - i] for i in range(9)]  # equal values stay linked
     assert luhn(first[1]) and all(int(x) < 256 for x in first[3].split("."))
-    assert pii.with_pseudonyms(frame([])).count() == 0
+    assert pii.with_pseudonyms(frame([]), "k").count() == 0
 
 
 def test_pii_between_capitals_and_numbers(frame):
@@ -90,15 +91,36 @@ def test_pii_between_capitals_and_numbers(frame):
     sides = [("", ""), ("2024 ", ""), ("", " 2024"), ("BIC ", " BIC NWBKGB2L"), ("", " I paid"), ("ID12 ", " X"), ("GB82 ", ""), ("A1 77 ", " 5 B2"), ("é漢 ", " 漢")]
     rows = [(kind, v, a, b) for kind, some in values.items() for v in some for a, b in sides]
     rows += [("email", "johnsmith@example.com", "password: ", ""), ("secret", "johnsmith1", "password: ", "@home"), ("email", "johnsmith1@example.com", "password: ", " 4")]
-    out = {r.doc_id: r for r in pii.with_pseudonyms(frame([f"{a}{v}{b}" for _, v, a, b in rows])).collect()}
+    out = {r.doc_id: r for r in pii.with_pseudonyms(frame([f"{a}{v}{b}" for _, v, a, b in rows]), "k").collect()}
     for i, (kind, v, a, b) in enumerate(rows):
         assert kind in out[i].found and v not in out[i].text, (rows[i], out[i].text, out[i].found)
         assert out[i].text.startswith(a) and (out[i].text.endswith(b) or kind == "phone"), (rows[i], out[i].text)
     many = " ".join(f"x{i}@example.com 999.1.1.3 é" for i in range(700))  # more than one block of places
-    got = pii.with_pseudonyms(frame([many])).first()
+    got = pii.with_pseudonyms(frame([many]), "k").first()
     assert got.found == ["email"] * 700 and re.sub(r"[a-z][0-9]+@", "@", got.text) == re.sub(r"[a-z][0-9]+@", "@", many)
 
 
+def test_pii_long_runs(frame):
+    """Texts of the parts that patterns repeat: no recursion, and no time with the square of the length."""
+    runs = [(".a1", ""), ("a.", "1"), ("a@", ""), ("a@b.", "1"), ("a@b.co", ""), ("._%+-", "x@a.bc"), ("a..", "b@c.de"), ("%a", "@b"), ("-a.b-", "1"), ("1 ", ""), ("(123) ", "4"),
+            ("+1-", "2"), ("GB82 ", "WEST"), ("GB82", ""), ("X0 A1 ", "1"), ("password=", "1"), ("token:a-", "1"), ("a+/", "1"), ("AKIA", "1"), ("1.1.", "1"), ("2024-01-", "1"),
+            ("4111 ", "1"), ("4", ""), ("123-45-", "1"), ("é1 ", "@")]
+    texts = ["x@a password=q1" + part * (100_000 // len(part)) + tail for part, tail in runs]
+    texts += ["x@a" + ".a1" * 300_000, "a." * 500_000 + "1"]
+    start = time.perf_counter()
+    rows = pii.with_pseudonyms(frame(texts).repartition(8), "k").collect()
+    assert time.perf_counter() - start < 120
+    assert all(abs(len(row.text) - len(texts[row.doc_id])) <= 12 for row in rows)  # octets vary in length
+
+
+def test_pii_addresses(frame):
+    """Addresses begin and end where the labels of their names and hosts do."""
+    texts = {"a@b.com": 1, "a@b..com": 0, "a@.b.com": 0, "a@b.com... x": 1, "a@b.com1": 1, "a@b.c": 0, ".foo@a.com": 1, "-+%foo@a.com": 1, "x..foo@a.com": 1, "a@b@c.org": 1,
+             "._" * 70 + "foo@a.com": 1, "a.b-c@d-e.f.gh, b@c.de": 2}
+    out = {r.doc_id: r for r in pii.with_pseudonyms(frame(list(texts)), "k").collect()}
+    assert [out[i].found.count("email") for i in range(len(texts))] == list(texts.values())
+
+
 def test_feistel_is_a_permutation(spark):
     pair = pii.permute_pair(F.floor(F.col("id") / 43), F.col("id") % 43, F.lit(17), F.lit(43), "k", "t")
     seen = {(r[0].a, r[0].b) for r in spark.range(17 * 43).select(pair).collect()}
@@ -348,3 +370,44 @@ def test_bpe_decodes_batches_as_it_decodes_one_list():
     batch = pa.array(lists, pa.list_(pa.int32()))
     for part in (batch, batch.slice(1, 3), batch.slice(0, 0)):
         assert coder.decode_all(part) == [None if x is None else coder.decode(x) for x in part.to_pylist()]
+
+
+def thue_morse(n, a="a", b="b"):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans({a: b, b: a}))
+    return out
+
+
+def test_words_that_cancel_out_in_powers(frame):
+    """Different words, and different orders of two words, whose hashes are equal where terms are powers modulo 2^64."""
+    word = thue_morse(4096)
+    other = word.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(12))
+    orders = [" ".join(f"{c}" for c in x) for x in (word, other)]
+    texts = [f"{word} {same}", f"{other} {same}", *orders]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(texts)).collect()}
+    assert [got[i].n_removed for i in range(2)] == [0, 0]
+    assert minhash.near_duplicates(frame([word, other])).filter("kept").count() == 2
+    from listwarden.llm.words import split_words
+    import pyarrow as pa
+    many = split_words(pa.array([" ".join(word[i : i + k] for i in range(300) for k in range(1, 12)), "z" * 300_001, "z" * 300_000]))
+    words = [bytes(many.data[a:b]) for a, b in zip(many.starts, many.ends)]
+    assert len(set(many.hashes.tolist())) == len(set(words))
+
+
+def test_language_of_numbers(frame):
+    learned = {"de": b"der die das und ist nicht ein eine", "en": b"the and of to in is that it was"}
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(frame(["½ ² 3", "①②③", "_ 1 _", "٣٤", "the cat and the hat", None, ""]), learned).collect()}
+    assert [got[i] == "und" for i in range(7)] == [True, True, True, True, False, True, True]
+
+
+def test_embeddings_of_many_lengths(spark):
+    rows = [(100 * d + i, [1.0 + 0.001 * i, *([0.5] * (d - 1))], 1) for d in range(1, 71) for i in (0, 1)]
+    rows += [(99_999, rows[0][1], 1), (99_998, [0.0] * 70, 1)]
+    importable(spark)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for d in range(1, 71):
+        more = 1 if d == 1 else 0
+        assert got[100 * d].n_links == 1 + more and got[100 * d + 1].component_id == 100 * d
+    assert got[99_998].n_links == 0 and got[99_999].component_id == 100
