@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwarden.llm import exact_dedup, language_id, minhash, packing, pii
-from listwarden.llm.queries import importable
+from listwarden.llm.queries import PII_KEY, importable
 from listwarden.llm.storage import shared_folder
 
 
@@ -35,7 +35,7 @@ def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by pseudonyms of the same format (operator 2); n_chars follows the text."""
-    out = pii.with_pseudonyms(docs.withColumnRenamed("found", "_found") if "found" in docs.columns else docs).drop("found")
+    out = pii.with_pseudonyms(docs.withColumnRenamed("found", "_found") if "found" in docs.columns else docs, PII_KEY).drop("found")
     if "_found" in out.columns:
         out = out.withColumnRenamed("_found", "found")
     return out.select(*docs.columns)
