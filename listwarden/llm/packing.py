@@ -2,12 +2,22 @@
 
 Only the histogram of piece lengths decides how to pack: at most CAPACITY numbers, however many
 documents there are. A configuration is a set of lengths that fits one sequence. Over the
-histogram stands the configuration linear program (fewest sequences, every length covered as often
-as it occurs). It is solved by multiplicative weights: in each of PHASES phases a knapsack dynamic
-program finds the best filling of every capacity at the current prices, the lengths that lag
-behind get the best configurations that hold them, and prices of lengths that run ahead fall while
-those of lagging ones rise. The solution is rounded down; what is left, a number that depends on
-the number of configurations and not on the corpus, is placed by best fit, longest first.
+histogram stands the configuration linear program: fewest sequences, every length covered as often
+as it occurs. Multiplicative weights solve it:
+
+- Prices of lengths are their sizes times weights. A knapsack dynamic program finds, for every
+  capacity, the filling of highest price that leaves no room; so every length gets the best full
+  sequence that holds it. Such sequences waste nothing, so they meet the dual bound of the program
+  (sizes over capacity), and what matters is to cover all lengths by them.
+- In each round these configurations are used as far as their lengths last, each until one length is
+  exhausted: there are no more configurations than lengths, as in a basic solution. Then weights
+  rise for lengths that lag behind and fall for those that run ahead.
+- Where lengths cannot fill a sequence to the brim, rounds go on with fillings that leave room, as
+  long as their price is near the best one.
+
+Uses are rounded down, what is left is solved again in whole uses, and the last pieces are placed by
+best fit, longest first: with 1843 lengths, 14 % of 11 thousand pieces, 1.6 % of 113 thousand, and 0.2 %
+of 1.1 million. There the solution is within 0.01 % of the dual bound before rounding.
 
 Spark then ranks the pieces of each length and looks up the place of each rank.
 """
@@ -27,13 +37,15 @@ from pyspark.sql import functions as F
 
 from listwarden.llm.storage import stored
 
-CAPACITY, PHASES = 2048, 24
-#: Configurations are taken whose value is this near to the best one.
-NEAR_BEST = 0.03
+CAPACITY = 2048
+#: Rounds at most, rounds without progress at most, and by how much weights move in a round.
+ROUNDS, IDLE, STEP = 300, 20, 2.0
+#: Fillings that leave room are taken if their price is this near to the best one.
+NEAR_BEST = 0.01
 #: Pieces of one length are ranked in as many independent groups.
 SHARDS = 256
-#: Words whose ids a worker keeps; the store is emptied when full.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 48
+#: Words whose ids a worker keeps in each of two generations, their bytes at most, and words encoded in one string.
+KEPT_WORDS, KEPT_LENGTH, JOINED = 250_000, 48, 500
 _UNIT_ENDS = re.compile(rb"(?<=[a-z0-9])(?=[,.!?;:&%$#*|\"()])")
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
@@ -46,30 +58,59 @@ class _Encoder:
 
     The tokenizer ignores case, drops white space, never looks across it, and always starts a new
     unit where punctuation follows a letter or digit. So each distinct word, without the
-    punctuation behind it, is encoded once and its ids are reused.
+    punctuation behind it, is encoded once and its ids are reused. Words of letters are one unit
+    each, so many are encoded as one string and told apart by the tokens that end a unit.
+
+    Words are kept in two generations: when the younger one is full it takes the place of the
+    older one, and words that are met again move to the younger one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # special tokens are matched before case and units, so texts that may hold one stay as they are
         split = [t.split() if b"<|" in t else _UNIT_ENDS.sub(b" ", t.lower()).split() for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        found = self.known
-        fresh = list({w for words in split for w in words if w not in found})
-        codes = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        found.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(fresh, codes, strict=True))
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        found, old = self.young, self.old
+        missing = {w for words in split for w in words if w not in found}
+        found.update((w, old[w]) for w in missing if w in old)
+        fresh = [w for w in missing if w not in old]
+        found.update(zip(fresh, self._encoded([w.decode() for w in fresh]), strict=True))
         out = [b"".join([found[w] for w in words]) for words in split]
         for w in fresh:
             if len(w) > KEPT_LENGTH:
                 del found[w]
         return out
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if len(w) <= KEPT_LENGTH and w.lower().isalpha()]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        alone = sorted(set(range(len(words))).difference(plain))
+        joined = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, code in zip(groups, joined, strict=True):
+            ids = np.array(code.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                alone += group  # some word is more than one unit after all
+                continue
+            blob, at = ids.tobytes(), 0
+            for i, end in zip(group, (4 * ends).tolist(), strict=True):
+                out[i] = blob[at:end]
+                at = end
+        for i, code in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(code.ids, "<u4").tobytes()
+        return out
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
@@ -121,16 +162,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
 
 # the plan
 
-def _knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value of each capacity with any number of items of each length, and its last length."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _knapsack(prices: np.ndarray, capacity: int, room: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Per capacity the best price of a filling with any number of items, and its last length.
+
+    Fillings leave no room, unless `room`: then one unit of room is an item of price and length 0.
+    Of equal prices the longest length is taken, so short ones stay for the gaps.
+    """
+    best, last = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    best[0] = 0
     for c in range(1, capacity + 1):
-        values = prices[1 : c + 1] + best[c - 1 :: -1] if c > 0 else prices[:0]
-        s = int(np.argmax(values))
-        if values[s] > best[c - 1]:
-            best[c], last[c] = values[s], s + 1
-        else:
-            best[c] = best[c - 1]
+        values = prices[c:0:-1] + best[:c]
+        at = int(values.argmax())
+        best[c], last[c] = values[at], c - at
+        if room and best[c - 1] >= best[c]:
+            best[c], last[c] = best[c - 1], 0
     return best, last
 
 
@@ -144,31 +189,47 @@ def _filling(last: np.ndarray, c: int) -> dict[int, int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, phases: int = PHASES) -> dict[Config, float]:
-    """Configurations and how often to use each, a fraction; no length is used more than it occurs."""
-    counts = counts.astype(float)
+def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, whole: bool = False) -> tuple[dict[Config, float], float]:
+    """Uses of configurations (whole numbers, if asked for), and the dual bound of the program.
+
+    No length is used more often than it occurs. The bound is the best one of all rounds: prices
+    over the highest price of a configuration are a solution of the dual program.
+    """
+    sizes, weights = np.arange(capacity + 1), np.ones(capacity + 1)
     lengths = np.flatnonzero(counts)
-    left, weights = counts.copy(), np.ones(capacity + 1)
+    left, least = counts.astype(float), 1 if whole else 1e-6
     used: dict[Config, float] = {}
-    for phase in range(1, phases + 1):
-        prices = np.where(left >= 1, np.arange(capacity + 1) * weights, -np.inf)
-        best, last = _knapsack(prices, capacity)
-        for s in lengths[::-1]:
-            lag = left[s] - counts[s] * (1 - phase / phases)
-            if lag <= 0 or prices[s] + best[capacity - s] < (1 - NEAR_BEST) * best[capacity]:
-                continue  # ahead of its share, or no configuration with it is near the best one
-            config = _filling(last, capacity - int(s))
-            config[int(s)] = config.get(int(s), 0) + 1
-            amount = min([lag / config[int(s)], *(left[i] / k for i, k in config.items())])
-            if amount < 1:
-                continue  # rounds to nothing: best fit will place it
+    bound, room, idle = 0.0, False, 0
+    for _ in range(rounds):
+        if not (left >= least).any():
+            break
+        all_prices = np.where(counts > 0, sizes * weights, -np.inf)
+        bound = max(bound, float((counts[lengths] * all_prices[lengths]).sum() / _knapsack(all_prices, capacity, True)[0][capacity]))
+        prices = np.where(left >= least, all_prices, -np.inf)
+        best, last = _knapsack(prices, capacity, room)
+        progress = 0.0
+        for s in np.flatnonzero(left >= least)[::-1].tolist():
+            value = prices[s] + best[capacity - s]
+            if left[s] < least or value == -np.inf or (room and value < (1 - NEAR_BEST) * best[capacity]):
+                continue
+            config = _filling(last, capacity - s)
+            config[s] = config.get(s, 0) + 1
+            amount = min(left[i] // k if whole else left[i] / k for i, k in config.items())
+            if amount < least:
+                continue
             for i, k in config.items():
                 left[i] -= amount * k
             key = tuple(sorted(config.items(), reverse=True))
             used[key] = used.get(key, 0) + amount
+            progress += amount
+        idle = 0 if progress else idle + 1
+        if idle > IDLE:
+            if room:
+                break
+            room, idle = True, 0
         share = left[lengths] / counts[lengths]
-        weights[lengths] *= np.exp(np.clip(share - (1 - phase / phases), -0.5, 0.5))
-    return used
+        weights[lengths] *= np.exp(STEP * (share - share.mean()))
+    return used, bound
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> dict[Config, int]:
@@ -202,17 +263,28 @@ def _best_fit(counts: dict[int, int], capacity: int) -> dict[Config, int]:
     return out
 
 
+def programmed(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[Config, int], dict[int, int]]:
+    """How often the program uses each configuration, rounded, and the pieces it leaves over."""
+    out: dict[Config, int] = {}
+    rest = np.zeros(capacity + 1)
+    for s, n in counts.items():
+        rest[s] = n
+    for whole in (False, True):
+        for config, x in solve(rest, capacity, whole=whole)[0].items():
+            if x >= 1:
+                out[config] = out.get(config, 0) + int(x)
+        for s, n in counts.items():
+            rest[s] = n
+        for config, copies in out.items():
+            for s, k in config:
+                rest[s] -= k * copies
+    return out, {s: int(rest[s]) for s in counts if rest[s]}
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[Config, int]:
     """How often to use each configuration, so that all pieces have exactly one place."""
-    histogram = np.zeros(capacity + 1)
-    for s, n in counts.items():
-        histogram[s] = n
-    out = {config: int(x) for config, x in solve(histogram, capacity).items() if x >= 1}
-    rest = dict(counts)
-    for config, copies in out.items():
-        for s, k in config:
-            rest[s] -= k * copies
-    for config, copies in _best_fit({s: n for s, n in rest.items() if n}, capacity).items():
+    out, rest = programmed(counts, capacity)
+    for config, copies in _best_fit(rest, capacity).items():
         out[config] = out.get(config, 0) + copies
     return out
 

@@ -242,6 +242,44 @@ def test_packing(frame, spark):
     assert packing.pack(packing.token_pieces(frame([]), path)).count() == 0
 
 
+def test_encoder_of_letters_and_generations(monkeypatch):
+    """Words encoded together, forgotten and met again are as the library has them."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "KEPT_WORDS", 30)
+    monkeypatch.setattr(packing, "JOINED", 7)
+    r, library, encoder = random.Random(8), Tokenizer.from_file(path), packing._Encoder(path)
+    letters = "abcxyzßéİıǅﬁªºµÅΣσςĳŉǰ漢字ᄒ\u1161ᆫकिаеёЖאبกำ🙂1²,.'\u0301\u0345"
+    words = ["".join(r.choice(letters) for _ in range(r.randrange(1, 7))) for _ in range(400)]
+    for _ in range(60):
+        texts = [" ".join(r.choice(words) for _ in range(r.randrange(12))) for _ in range(9)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder.young) + len(encoder.old) < 200
+
+
+@pytest.mark.parametrize("scale, placed", [(1, 0.7), (10, 0.95), (100, 0.98)])
+def test_program_places_most_pieces(scale, placed):
+    """The rounded program places nearly all pieces of a large table, and meets the dual bound."""
+    r = random.Random(6)
+    counts = Counter(min(2048, 1 + int(r.expovariate(1 / 700))) for _ in range(10_000))
+    counts = {s: n * scale for s, n in counts.items()}
+    total = sum(counts.values())
+    used, rest = packing.programmed(counts)
+    assert sum(rest.values()) < (1 - placed) * total and len(used) < 1.5 * len(counts)
+    histogram = np.zeros(2049)
+    histogram[list(counts)] = list(counts.values())
+    amounts, bound = packing.solve(histogram)
+    assert len(amounts) <= len(counts) and bound >= sum(s * n for s, n in counts.items()) / 2048 - 1e-6
+    assert sum(packing.plan(counts).values()) <= bound * 1.0005 + 1
+
+
+def test_program_without_full_sequences():
+    used, rest = packing.programmed({700: 1000, 600: 900, 300: 50})
+    assert sum(rest.values()) < 20 and sum(used.values()) < 650
+
+
 def test_plan_places_every_piece_once():
     r = random.Random(4)
     for counts in ({2048: 7}, {1: 5000}, {1025: 10, 1023: 3}, Counter(r.randrange(1, 2049) for _ in range(5000))):
