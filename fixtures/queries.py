@@ -539,14 +539,15 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query(oracle.scored(f"SELECT {_SHOWN} FROM scored WHERE risk_tier IN ('Likely Spam', 'Review')"))
 def filter_tier(spark, sf_dir):
-    """Rows of chosen tiers."""
-    return _shown(reports.filter_scored(_scored(spark, sf_dir), tiers=("Likely Spam", "Review")))
+    """Rows of chosen tiers, of the table as written."""
+    written = _written(spark, sf_dir, "flagged")
+    return _shown(reports.filter_scored(written, tiers=("Likely Spam", "Review")))
 
 
 @query(oracle.scored(f"SELECT {_SHOWN} FROM scored WHERE spam_score >= 30"))
 def filter_score(spark, sf_dir):
-    """Rows from a score on."""
-    return _shown(reports.filter_scored(_scored(spark, sf_dir), min_score=30))
+    """Rows from a score on, of the table as written."""
+    return _shown(reports.filter_scored(_written(spark, sf_dir, "flagged"), min_score=30))
 
 
 @query(oracle.scored(f"SELECT {_SHOWN} FROM scored "

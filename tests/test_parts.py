@@ -6,6 +6,7 @@ import sys
 import unicodedata
 
 import data
+import pyarrow.parquet as pq
 import pytest
 from conftest import ROOT
 from pyspark.sql import functions as F
@@ -133,6 +134,28 @@ def test_results_of_empty_tables_and_of_unknown_flags(spark, tmp_path):
                 assert sorted(written.collect()) == sorted(expected.collect())
 
 
+def test_filters_read_only_what_they_ask_for(spark, tmp_path):
+    """Tiers are folders of the written table, and files are sorted by score."""
+    tiers = {"Clean": 0, "Review": 100, "Likely Spam": 200}
+    scored = spark.range(3000).select(
+        F.element_at(F.array(*[F.lit(tier) for tier in tiers]), (F.col("id") % 3 + 1).cast("int"))
+        .alias("risk_tier"), (F.col("id") * 7919 % 1000).cast("int").alias("spam_score"),
+        F.lit("").alias("flags_triggered"), F.col("id").alias("odd `name`")).repartition(3)
+    write_results(scored, str(tmp_path))
+    written = read_results(spark, f"{tmp_path}/flagged", scored.schema)
+    assert written.columns == scored.columns
+    chosen = reports.filter_scored(written, ["Review", "Clean"], 900)
+    expected = reports.filter_scored(scored, ["Review", "Clean"], 900)
+    assert sorted(chosen.collect()) == sorted(expected.collect()) and chosen.count() > 100
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "risk_tier" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "GreaterThanOrEqual(spam_score,900)" in plan.split("PushedFilters: ")[1]
+    for folder in (tmp_path / "flagged").glob("risk_tier=*"):
+        for file in folder.glob("*.parquet"):
+            scores = pq.read_table(file, partitioning=None)["spam_score"].to_pylist()
+            assert scores == sorted(scores)
+
+
 REPEATED_TASKS = """
 import sys
 from pyspark import TaskContext
