@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from listwarden import PublicSuffixes, References, RiskConfig, TierThresholds, default_config
 from listwarden.operators.storage import shared_folder
+from listwarden.plans.residential import store_lookups
 
 COPY_OFFSET = 100_000_000
+#: Of the stored residential indicators.
+RDI_BUCKETS = 8
 SUFFIXES = ("com", "net", "org")
 SUFFIXES_ALL_KINDS = ("com", "net", "org", "example.com", "*.example.net", "!therin.example.net")
 COMPARED = (
@@ -190,10 +193,20 @@ def rdi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_rdi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residential indicators as a table laid out by address, as they would be kept."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/rdi")
+    if key not in _STORED:
+        name = f"rdi_{uuid.uuid4().hex}"
+        store_lookups(rdi(spark, sf_dir), name, RDI_BUCKETS, f"{scratch(spark)}/rdi")
+        _STORED[key] = name
+    return spark.table(_STORED[key])
+
+
 def references(spark: SparkSession, sf_dir: str, *names: str) -> References:
     """Some of the reference tables; all of them if none is named."""
     names = names or ("suffixes", "zip_dim", "area_code_dim", "rdi")
-    makers = {"zip_dim": zip_dim, "area_code_dim": area_code_dim, "rdi": rdi}
+    makers = {"zip_dim": zip_dim, "area_code_dim": area_code_dim, "rdi": stored_rdi}
     tables = {name: makers[name](spark, sf_dir) for name in names if name in makers}
     if "suffixes" in names:
         tables["suffixes"] = PublicSuffixes.from_rules(spark, SUFFIXES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -205,8 +206,10 @@ def rdi_merge(spark, sf_dir):
 @query(_with_work("SELECT address, rdi FROM merged WHERE address IN "
                   "(SELECT address FROM first_rows)"))
 def rdi_for_batch(spark, sf_dir):
-    """The answers a batch needs."""
-    merged = residential.merge_lookups(*_lookups(spark, sf_dir))
+    """The answers a batch needs, from a table laid out by address."""
+    merged = residential.store_lookups(
+        residential.merge_lookups(*_lookups(spark, sf_dir)),
+        f"merged_{uuid.uuid4().hex}", fx.RDI_BUCKETS, f"{fx.scratch(spark)}/merged")
     return residential.lookups_for_batch(merged, fx.stored_listings(spark, sf_dir), CFG, "row_id")
 
 

@@ -152,14 +152,9 @@ def _groups(keys: DataFrame, kinds: Sequence[Kind], number: Mapping[str, int]) -
 
 
 def _restrict(groups: DataFrame, number: int, table: DataFrame) -> DataFrame:
-    known = table.select(
-        F.lit(number).alias("kind"), F.col("key"), F.lit(True).alias("__known")
-    ).distinct()
-    return (
-        groups.join(known, ["kind", "key"], "left")
-        .filter((F.col("kind") != number) | F.col("__known"))
-        .drop("__known")
-    )
+    """Groups of one kind only if the table has their key; a table laid out by key stays in place."""
+    known = groups.filter(F.col("kind") == number).join(table.select("key"), "key", "left_semi")
+    return groups.filter(F.col("kind") != number).unionByName(known)
 
 
 def _salts(salt_rows: int) -> Column:

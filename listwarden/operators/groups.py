@@ -79,7 +79,15 @@ def group_kinds(
 
 
 def residential_keys(rdi: DataFrame) -> DataFrame:
-    """Addresses a residential-indicator table calls residential, as group keys."""
-    return rdi.filter(F.col("rdi") == "Residential").select(
-        key_bytes(text.clean_cell(F.col("address"))).alias("key")
-    )
+    """Addresses a residential-indicator table calls residential, as group keys.
+
+    A table stored by ``store_lookups`` has the keys, and is laid out by them.
+    """
+    return address_keys(rdi.filter(F.col("rdi") == "Residential"))
+
+
+def address_keys(table: DataFrame) -> DataFrame:
+    """``key`` of each address."""
+    if "key" in table.columns:
+        return table.select("key")
+    return table.select(key_bytes(text.clean_cell(F.col("address"))).alias("key"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwarden.config import RiskConfig
+from listwarden.functions.text import clean_cell
+from listwarden.operators.frequency import key_bytes
+from listwarden.operators.groups import address_keys
 from listwarden.operators.prepare import ROW_ID, Listings
 from listwarden.plans.scoring import References, prepared_listings
 
@@ -48,11 +51,30 @@ def merge_lookups(known: DataFrame, fetched: DataFrame) -> DataFrame:
     return known.select("address", "rdi").unionByName(new)
 
 
+def store_lookups(lookups: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Save answers as a table laid out by address, and return it.
+
+    The table grows with all listings ever seen, a batch does not. Batches are brought to its
+    buckets, so that it is read in place: ``lookups_for_batch`` and the residential rule do not
+    shuffle it. ``buckets`` should give files of 100 to 200 MB, and be a multiple of the cores
+    that a batch may use. Saved again after a merge, under another name.
+    """
+    spark: SparkSession = lookups.sparkSession
+    rows = lookups.select("address", "rdi", key_bytes(clean_cell(F.col("address"))).alias("key"))
+    writer = rows.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return spark.table(table)
+
+
 def lookups_for_batch(
     lookups: DataFrame, df: DataFrame, cfg: RiskConfig, id_col: str | None = None
 ) -> DataFrame:
-    """The answers for high-risk addresses of one batch."""
+    """The answers for high-risk addresses of one batch: ``address, rdi``."""
     addresses = lookup_worklist(df, cfg, None, id_col)
     if addresses is None:
-        return lookups.limit(0)
-    return lookups.join(addresses.select("address"), "address", "left_semi")
+        return lookups.select("address", "rdi").limit(0)
+    if "key" not in lookups.columns:
+        wanted = addresses.select("address")
+        return lookups.select("address", "rdi").join(wanted, "address", "left_semi")
+    wanted = address_keys(addresses).distinct()
+    return lookups.join(wanted, "key", "left_semi").select("address", "rdi")

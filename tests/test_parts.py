@@ -15,6 +15,7 @@ from listwarden import (
     PublicSuffixes,
     RiskConfig,
     default_config,
+    flag_table,
     read_listings,
     score_listings,
     template_config,
@@ -22,7 +23,8 @@ from listwarden import (
 )
 from listwarden.fields import FIELD_ALIASES, normalize_header, resolve_fields
 from listwarden.functions import text
-from listwarden.operators.frequency import _hot_keys
+from listwarden.operators.frequency import _hot_keys, _restrict
+from listwarden.operators.groups import residential_keys
 from listwarden.operators.reference import with_zip_state
 from listwarden.operators.row_ids import with_row_ids
 from listwarden.plans import reports, residential
@@ -224,6 +226,52 @@ def test_residential_upkeep(spark):
     assert residential.lookup_worklist(df.drop("address"), default_config(), None, "row_id") is None
 
 
+def test_stored_lookups_are_read_in_place(spark, tmp_path):
+    """No plan moves the growing table; only what a batch asks for is brought to its buckets."""
+    df = data.listings(spark)
+    answers = spark.createDataFrame(
+        [("77 Cedar Ave", ""), ("12 Pier Rd", "Residential"), (" 9 Mill Ln ", "Residential"),
+         (None, "Residential"), ("elsewhere", "Commercial")], "address string, rdi string")
+    table = residential.store_lookups(answers, "stored_answers", 8, f"{tmp_path}/answers")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        batch = residential.lookups_for_batch(table, df, default_config(), "row_id")
+        plain = residential.lookups_for_batch(answers.na.fill("").withColumn(
+            "address", F.trim("address")), df, default_config(), "row_id")
+        assert sorted(_answers(batch)) == sorted(_answers(plain)) and batch.count() == 3
+        assert not _moved(batch, "stored_answers")
+        groups = spark.createDataFrame(
+            [(0, b"12 Pier Rd", 1), (0, b"77 Cedar Ave", 2), (1, b"x", 3)],
+            "kind int, key binary, n int").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        kept = _restrict(groups, 0, residential_keys(table))
+        assert sorted((r.kind, bytes(r.key)) for r in kept.collect()) == [(0, b"12 Pier Rd"), (1, b"x")]
+        assert not _moved(kept, "stored_answers")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rules = {id_: flag_table(df, default_config(), data.references(spark, rdi=source), "row_id",
+                             flags=["RESIDENTIAL_ADDRESS"]).collect()
+             for id_, source in (("stored", table), ("plain", answers))}
+    assert sorted(rules["stored"]) == sorted(rules["plain"]) and len(rules["plain"]) == 3
+
+
+def _answers(rows):
+    return [(r.address.strip(), r.rdi) for r in rows.collect()]
+
+
+def _moved(df, table):
+    """Whether an exchange stands between a table's scan and the rest of the plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    place = next(at for at, line in enumerate(lines) if table in line and "Scan" in line)
+    depth = len(lines[place]) - len(lines[place].lstrip(" :+-*()0123456789"))
+    for line in reversed(lines[:place]):
+        indent = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if indent < depth:
+            depth = indent
+            if "Exchange" in line:
+                return True
+    return False
+
+
 def test_suffix_table_size_is_checked(spark, monkeypatch):
     from listwarden.operators import domains
 
