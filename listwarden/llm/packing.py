@@ -42,8 +42,8 @@ CAPACITY = 2048
 ROUNDS, IDLE, STEP = 300, 20, 2.0
 #: Fillings that leave room are taken if their price is this near to the best one.
 NEAR_BEST = 0.01
-#: Pieces of one length are ranked in as many independent groups.
-SHARDS = 256
+#: Pieces of one length are ranked in independent groups of about this size.
+SHARD_ROWS = 100_000
 #: Words whose ids a worker keeps in each of two generations, their bytes at most, and words encoded in one string.
 KEPT_WORDS, KEPT_LENGTH, JOINED = 250_000, 48, 500
 _UNIT_ENDS = re.compile(rb"(?<=[a-z0-9])(?=[,.!?;:&%$#*|\"()])")
@@ -314,17 +314,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     rows = stored(pieces.select(*[F.col(f"`{c}`") for c in names]))
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS))
-    sizes = stored(rows.groupBy("length", shard.alias("_shard")).agg(F.count(F.lit(1)).alias("_n")))
-    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # <= capacity rows
+    counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
         raise ValueError("lengths must be between 1 and the capacity")
+    # a piece that fills a sequence needs no rank: its number only has to be its own
+    full = rows.filter(F.col("length") == capacity).select(
+        *[F.col(f"`{c}`") for c in names], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    counts.pop(capacity, None)
+    shards = ",".join(str(-(-counts.get(s, 0) // SHARD_ROWS) or 1) for s in range(capacity + 1))
+    own = F.get(F.split(F.lit(shards), ","), F.col("length").cast("int")).cast("int")
+    sharded = rows.filter(F.col("length") < capacity).withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), own))
     table = rows.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))
+    sizes = sharded.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     in_shard = Window.partitionBy("length", "_shard").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("_shard", shard).withColumn("_rank", F.row_number().over(in_shard) - 1)
-    # at most capacity * SHARDS rows
+    ranked = sharded.withColumn("_rank", F.row_number().over(in_shard) - 1)
+    # a row for each length and each SHARD_ROWS pieces
     ranked = ranked.join(F.broadcast(starts), ["length", "_shard"]).select(*names, (F.col("_first") + F.col("_rank")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +346,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*[F.col(f"`{c}`") for c in names]).schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return full.unionByName(ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

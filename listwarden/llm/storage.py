@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from listwarden.operators.storage import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; where it is unset (tests), one below the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
+__all__ = ["shared_folder", "stored"]
 
 
 def stored(df: DataFrame) -> DataFrame:
