@@ -449,3 +449,23 @@ def test_embeddings_of_many_lengths(spark):
         more = 1 if d == 1 else 0
         assert got[100 * d].n_links == 1 + more and got[100 * d + 1].component_id == 100 * d
     assert got[99_998].n_links == 0 and got[99_999].component_id == 100
+
+
+def test_spans_are_verified_by_their_sources():
+    """Copies in a row become one span; a copy that is none is told by its digest."""
+    import pyarrow as pa
+    import zstandard
+
+    copy = [{"at": a, "edges": e, "source": s, "source_at": b} for a, e, s, b in [(5, 3, 1, 2), (0, 4, 1, 100), (8, 2, 1, 5), (40, 1, 1, 37), (41, 9, 1, 38), (60, 1, 2, 57), (300, 1, 1, 297)]]
+    found, = substring_dedup._long_spans(iter([pa.RecordBatch.from_pylist([{"doc_id": 7, "copies": copy}, {"doc_id": 8, "copies": copy[:1]}])]))
+    assert [tuple(r.values()) for r in found.to_pylist()] == [
+        (7, 5, 17, 1, 2), (7, 40, 22, 1, 37), (7, 300, 13, 1, 297), (7, 0, 16, 1, 100), (7, 60, 13, 2, 57), (8, 5, 15, 1, 2)]
+    long, = substring_dedup._long_spans(iter([pa.RecordBatch.from_pylist([{"doc_id": 7, "copies": [{"at": 3, "edges": 600, "source": 1, "source_at": 250}]}])]))
+    assert [tuple(r.values()) for r in long.to_pylist()] == [(7, 3, 6, 1, 250), (7, 9, 256, 1, 256), (7, 265, 256, 1, 512), (7, 521, 94, 1, 768)]
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(words), " ".join(["x", *words[:14], "other", *words[15:]])]
+    ask = lambda at, is_copy: [{"at": at, "words": 20, "source": 1, "source_at": 0, "copy": is_copy}]
+    rows = [{"doc_id": i, "packed": zstandard.compress(t.encode()), "asked": a} for i, t, a in [(1, texts[0], ask(0, False)), (2, texts[0], ask(0, True)), (3, texts[1], ask(1, True))]]
+    out, = substring_dedup._remove(iter([pa.RecordBatch.from_pylist(rows)]))
+    first, second, third = [r["digests"][0]["sha"] for r in out.to_pylist()]
+    assert first == second != third and out.column("n_removed").to_pylist() == [0, 20, 20]
