@@ -2,6 +2,8 @@
 
 A rule is a predicate and an evidence text over prepared columns. Rules that are
 disabled, or whose input columns are absent, never enter the plan.
+
+Fixed values: flags, keys and evidence texts are output, and have to be as they are.
 """
 
 from __future__ import annotations
