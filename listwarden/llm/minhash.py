@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwarden.llm.links import components
+from listwarden.llm.skew import lookup
 from listwarden.llm.storage import stored
 from listwarden.llm.words import mix, ngrams, signed, slices, split_words
 
@@ -165,20 +166,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed_docs = stored(described)
     filled = signed_docs.filter("size > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("bag_a", "bag_b").agg(F.min("doc_id").alias("copy_of"))
-    members = stored(filled.join(classes, ["bag_a", "bag_b"]).select("doc_id", "copy_of", "size", "bands"))
+    members = stored(lookup(filled, classes, ["bag_a", "bag_b"]).select("doc_id", "copy_of", "size", "bands"))
     buckets = members.filter("doc_id = copy_of").select(
         "doc_id", "size", F.posexplode("bands").alias("band", "value"))
     leaders = buckets.groupBy("band", "value").agg(F.min(F.struct("doc_id", "size")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    leaders = stored(leaders)
     similar = "5 * least(size, leader.size) >= 4 * greatest(size, leader.size)"  # else below 0.8
     stars = stored(
-        buckets.join(leaders, ["band", "value"]).filter(f"doc_id <> leader.doc_id AND {similar}")
+        lookup(buckets, leaders, ["band", "value"]).filter(f"doc_id <> leader.doc_id AND {similar}")
         .select(F.col("doc_id").alias("a"), F.col("leader.doc_id").alias("b")).distinct())
     texts = stored(_texts_of(stars.select(F.explode(F.array("a", "b")).alias("doc_id")), docs))
     links = stored(_verified(stars, texts))
     labels = components(links)
 
     # buckets that the stars left in several components
-    crowded = buckets.join(leaders.select("band", "value", "n"), ["band", "value"]).join(labels, F.col("doc_id") == F.col("id"), "left")
+    crowded = lookup(buckets, leaders.select("band", "value", "n"), ["band", "value"]).join(labels, F.col("doc_id") == F.col("id"), "left")
     crowded = crowded.select("band", "value", "n", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = crowded.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     apart = stored(crowded.join(mixed.select("band", "value"), ["band", "value"]))

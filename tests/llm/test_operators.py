@@ -469,3 +469,14 @@ def test_spans_are_verified_by_their_sources():
     out, = substring_dedup._remove(iter([pa.RecordBatch.from_pylist(rows)]))
     first, second, third = [r["digests"][0]["sha"] for r in out.to_pylist()]
     assert first == second != third and out.column("n_removed").to_pylist() == [0, 20, 20]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1000])
+def test_lookup_of_hot_keys(spark, hot_rows):
+    from listwarden.llm.skew import lookup
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) AS a", "cast(id % 2 as string) AS b")
+    table = spark.range(40).selectExpr("id AS a", "id * 10 AS v").crossJoin(spark.createDataFrame([("0",), ("1",)], "b string"))
+    got = lookup(rows, table, ["a", "b"], hot_rows)
+    assert sorted(map(tuple, got.select("id", "v").collect())) == sorted(map(tuple, rows.join(table, ["a", "b"]).select("id", "v").collect()))
+    assert lookup(rows.limit(0), table, ["a", "b"], hot_rows).count() == 0
