@@ -47,6 +47,8 @@ from listwarden.llm.words import slices
 RADIX, CELL_RECORDS = 64, 4_000_000
 #: Text of a batch, pairs of a block of a run, pieces kept per worker, and pieces aligned at once.
 BATCH_BYTES, BLOCK, KEPT_PIECES, ALIGNED = 4_000_000, 16_384, 300_000, 25_000
+#: Bytes of kept pieces, about: their groups as text and their pairs.
+KEPT_BYTES = 100_000_000
 #: Links of a group from which its distinct ids are multiplied instead of its tokens.
 WIDE = 1_000
 _MOST_IDS, _MOST_DOCUMENTS, _MOST_TASKS = 1 << 16, 1 << 18, 20_000
@@ -104,6 +106,7 @@ class Store:
         self.n_pairs = np.zeros(0, np.int64)
         self.pairs, self.links = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.batches = np.zeros(0, np.int64)  # that a piece occurred in
+        self.bytes = 0
 
     def add(self, names: list[str], groups: list[str], sizes: np.ndarray, n_pairs: np.ndarray, pairs: np.ndarray, links: np.ndarray) -> None:
         self.names += names
@@ -112,6 +115,7 @@ class Store:
         self.n_pairs = np.concatenate([self.n_pairs, n_pairs])
         self.pairs, self.links = np.concatenate([self.pairs, pairs]), np.concatenate([self.links, links])
         self.batches = np.concatenate([self.batches, np.zeros(len(names), np.int64)])
+        self.bytes += sum(map(len, names)) + sum(map(len, groups)) + 8 * len(pairs)
 
     def of(self, slots: np.ndarray) -> np.ndarray:
         """Places in pairs and links of the pairs of slots."""
@@ -234,7 +238,7 @@ class Aligner:
 
     def slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slots in the store of the pieces of all texts, and how many pieces each text has."""
-        if len(self.store.names) > KEPT_PIECES:
+        if len(self.store.names) > KEPT_PIECES or self.store.bytes > KEPT_BYTES:
             self.store = self.store.kept(KEPT_PIECES // 2)
             self.known = {p: i for i, p in enumerate(self.store.names)}
         pieces = [_CUT.split(t) if _UNSURE.search(t) else t.split(" ") for t in texts]

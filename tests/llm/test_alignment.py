@@ -115,6 +115,14 @@ def test_batches_blocks_and_forgotten_pieces(monkeypatch, libraries):
     assert sorted(got) == plain(some, libraries)
 
 
+def test_long_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT_BYTES", 50_000)
+    aligner = alignment.Aligner(A, B)
+    for i in range(9):
+        aligner.slots([f"short words {i} " + "漢字" * 900, "short words"])
+    assert aligner.store.bytes < 100_000 and "words" in aligner.known
+
+
 def test_packed_arrays():
     some = [np.array([], np.int64), np.arange(300), np.array([0, 1 << 40])]
     assert [x.tolist() for x in alignment.unpacked(alignment.packed(*some))] == [x.tolist() for x in some]
