@@ -35,8 +35,18 @@ PII_KEY = "public test key"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that go to Python at once in the registered queries and the pipeline: texts may be long.
+BATCH_ROWS = 2_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of a session without a deployed package find it next to this file."""
+    """Let Python workers of a session without a deployed package find it next to this file.
+
+    Where the session leaves the size of batches at Spark's default, they are made smaller.
+    """
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, known) if x)
