@@ -95,7 +95,7 @@ _COLUMNS = [field.split()[0] for field in ROW.split(", ")]
 def _path_finder(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 6_000_000):
+            for part in slices(batch, "text", 3_000_000):
                 p = _paths(split_words(part.column("text")), part.column("doc_id").to_numpy(), seed)
                 _settle(p)
                 yield _batch(p)
@@ -148,13 +148,24 @@ def _resolved(rows: DataFrame, take_apart: bool) -> DataFrame:
     return near.mapInArrow(_resolver(take_apart), ROW)
 
 
+def _opened(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Rows of packed texts, with the words of as many as have this many bytes (or of one text)."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        packed, at = batch.column("packed"), 0
+        while at < len(batch):
+            texts, size, stop = [], 0, at
+            while stop < len(batch) and size < most:
+                texts.append(unpack.decompress(packed[stop].as_py()).decode())
+                size, stop = size + len(texts[-1]), stop + 1
+            yield batch.slice(at, stop - at), split_words(pa.array(texts, pa.string()))
+            at = stop
+
+
 def _taker_apart(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Edges of the paths of each document, as paths of one edge; key is the edge and the minimizer."""
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = pa.array([unpack.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.string())
-            w = split_words(texts)
+        for batch, w in _opened(batches):
             edges = ngrams(w.hashes, EDGE, seed)
             spans_ = batch.column("spans")
             row = np.repeat(np.arange(len(batch)), np.array(spans_.value_lengths()))
@@ -218,10 +229,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words that stay, and the digests of all spans asked for: of the document's copies, and of copies made of it."""
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        texts = pa.array([unpack.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.string())
-        w = split_words(texts)
+    for batch, w in _opened(batches):
         data, starts, ends = w.data.tobytes(), w.starts.tolist(), w.ends.tolist()
         totals, kept_texts, digests = [], [], []
         for i, asked in enumerate(batch.column("asked").to_pylist()):
