@@ -45,7 +45,7 @@ NEAR_BEST = 0.01
 #: Pieces of one length are ranked in independent groups of about this size.
 SHARD_ROWS = 100_000
 #: Words whose ids a worker keeps in each of two generations, their bytes at most, and words encoded in one string.
-KEPT_WORDS, KEPT_LENGTH, JOINED = 120_000, 48, 500
+KEPT_WORDS, KEPT_LENGTH, JOINED = 220_000, 48, 500
 _UNIT_ENDS = re.compile(rb"(?<=[a-z0-9])(?=[,.!?;:&%$#*|\"()])")
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
