@@ -35,6 +35,22 @@ def test_repeated_words(spark):
         assert all(row.w == [word for word in words if row.b.count(word) >= times] for row in got)
 
 
+def test_few_words_are_searched_in_bytes(spark):
+    """A handful of words need no pattern; the result is that of counting them."""
+    r = random.Random(3)
+    words = ["tion", "ment", "ana", "über", "x.y", "🙂🙂", "ti"]
+    bodies = ["", "tion", "tiontion", "anana", "ananana", "🙂" * 3, "🙂" * 4, "überüber x.yxxy x.y"]
+    bodies += ["".join(r.choice([*words, "n", "z ", "t"]) for _ in range(r.randrange(20))) for _ in range(80)]
+    frame = spark.createDataFrame([(b,) for b in bodies], "b string")
+    for times in (1, 2, 3):
+        few = frame.select("b", text.repeated_words(F.col("b"), words, times).alias("w"))
+        assert "regexp" not in few._jdf.queryExecution().executedPlan().toString()
+        assert all(row.w == [word for word in words if row.b.count(word) >= times] for row in few.collect())
+        more = [*words, *(f"w{at}q" for at in range(text.FEW_WORDS))]
+        many = frame.select("b", text.repeated_words(F.col("b"), more, times).alias("w"))
+        assert sorted(many.collect()) == sorted(few.collect())
+
+
 def test_many_keywords_take_one_pass(spark):
     """A text of 1 MB and 1000 service words."""
     words = [f"word{at:04d}service" for at in range(1000)]
