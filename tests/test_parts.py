@@ -323,3 +323,13 @@ def test_every_character_decomposes(spark):
     got = rows.select("t", text.normalize_text(F.col("t")).alias("a"), text.normalize_text(F.col("t"), full_nfkd=True).alias("b"))
     wrong = got.filter("NOT a <=> b").collect()
     assert not wrong, (len(wrong), wrong[0])
+
+
+@pytest.mark.parametrize("file_format, compression", [("csv", "gzip"), ("parquet", "zstd")])
+def test_compressed_results_come_back(spark, tmp_path, file_format, compression):
+    scored = score_listings(data.listings(spark), default_config(), id_col="row_id")
+    write_results(scored, str(tmp_path), file_format, compression)
+    ending = {"csv": "*.csv.gz", "parquet": "*.zstd.parquet"}[file_format]
+    assert list((tmp_path / "flagged").rglob(ending))
+    back = read_results(spark, f"{tmp_path}/flagged", scored.schema, file_format)
+    assert back.exceptAll(scored).isEmpty() and scored.exceptAll(back).isEmpty()
