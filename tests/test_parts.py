@@ -23,7 +23,7 @@ from listwarden import (
 )
 from listwarden.fields import FIELD_ALIASES, normalize_header, resolve_fields
 from listwarden.functions import text
-from listwarden.operators.frequency import _hot_keys, _restrict
+from listwarden.operators.frequency import _hot_keys, _restrict, value_frequency
 from listwarden.operators.groups import residential_keys
 from listwarden.operators.reference import with_zip_state
 from listwarden.operators.row_ids import with_row_ids
@@ -333,3 +333,16 @@ def test_compressed_results_come_back(spark, tmp_path, file_format, compression)
     assert list((tmp_path / "flagged").rglob(ending))
     back = read_results(spark, f"{tmp_path}/flagged", scored.schema, file_format)
     assert back.exceptAll(scored).isEmpty() and scored.exceptAll(back).isEmpty()
+
+
+def test_frequency_computes_each_key_once(spark):
+    """The empty key goes by its count: a filter on the key would work it out at the scan again."""
+    rows = [(1, "a.x"), (2, None), (3, ""), (4, "b.x"), (5, "c.y"), (6, ".z"), (7, ".z")]
+    frame = spark.createDataFrame(rows, "row_id long, site string")
+    key = F.regexp_extract("site", r"^([a-z]*)\.?([a-z]*)$", 2)
+    counted = value_frequency(frame, key, F.col("row_id"))
+    assert sorted(map(tuple, counted.collect())) == [("x", 2, 1), ("y", 1, 5), ("z", 2, 6)]
+    assert sorted(map(tuple, value_frequency(frame, F.col("site")).collect())) == [
+        (".z", 2), ("a.x", 1), ("b.x", 1), ("c.y", 1)]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
