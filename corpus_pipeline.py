@@ -41,10 +41,15 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select(*docs.columns)
 
 
+#: Less than in packing alone: idle workers hold that memory while other stages run.
+KEPT_WORDS, PART_BYTES = 60_000, 500_000
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the tokens of all documents into sequences (operator 7)."""
     importable(spark)
-    return packing.pack(packing.token_pieces(docs, packing.default_tokenizer("word_bpe_49k.json")))
+    tokenizer = packing.default_tokenizer("word_bpe_49k.json")
+    return packing.pack(packing.token_pieces(docs, tokenizer, kept_words=KEPT_WORDS, part_bytes=PART_BYTES))
 
 
 STAGES = [

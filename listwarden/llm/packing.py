@@ -46,6 +46,8 @@ NEAR_BEST = 0.01
 SHARD_ROWS = 100_000
 #: Words whose ids a worker keeps in each of two generations, their bytes at most, and words encoded in one string.
 KEPT_WORDS, KEPT_LENGTH, JOINED = 220_000, 48, 500
+#: Bytes of texts encoded at once.
+PART_BYTES = 2_000_000
 _UNIT_ENDS = re.compile(rb"(?<=[a-z0-9])(?=[,.!?;:&%$#*|\"()])")
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
@@ -65,9 +67,10 @@ class _Encoder:
     older one, and words that are met again move to the younger one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int | None = None):
         from tokenizers import Tokenizer
 
+        self.kept_words = KEPT_WORDS if kept_words is None else kept_words
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -78,7 +81,7 @@ class _Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # special tokens are matched before case and units, so texts that may hold one stay as they are
         split = [t.split() if b"<|" in t else _UNIT_ENDS.sub(b" ", t.lower()).split() for t in texts]
-        if len(self.young) > KEPT_WORDS:
+        if len(self.young) > self.kept_words:
             self.young, self.old = {}, self.young
         found, old = self.young, self.old
         missing = {w for words in split for w in words if w not in found}
@@ -113,11 +116,11 @@ class _Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _encoder(path: str, kept_words: int | None = None) -> _Encoder:
+    return _Encoder(path, kept_words)
 
 
-def _documents(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _documents(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with at most this many bytes of text (or one text), and their texts."""
     texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
     at = 0
@@ -130,19 +133,25 @@ def _documents(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[p
         at = stop
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False,
+    kept_words: int | None = None, part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids, if asked for).
 
     A document is the ids of its whole text, then id 0; null text counts as empty and is that id
     alone. Documents of more than `capacity` ids are cut into pieces of that many, the last shorter.
+    Workers keep the ids of about `kept_words` words (KEPT_WORDS, if not given) in each of two
+    generations, about 130 bytes a word, for as long as they live, and encode `part_bytes` of texts,
+    or one text, at once: less of both takes less memory and more time, and gives the same pieces.
     """
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _documents(batch):
+            for part, texts in _documents(batch, part_bytes):
                 ids = part.column("doc_id")
                 rows: list[tuple[int, int, int, int, int]] = []
                 blobs = []
-                for row, codes in enumerate(_encoder(tokenizer).encode(texts)):
+                for row, codes in enumerate(_encoder(tokenizer, kept_words).encode(texts)):
                     codes += b"\0\0\0\0"
                     for piece, at in enumerate(range(0, len(codes), 4 * capacity)):
                         blob = codes[at : at + 4 * capacity]

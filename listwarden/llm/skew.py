@@ -19,9 +19,10 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = H
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     total = rows.select(F.count(F.lit(1))).scalar()
     hot = counts.filter(F.col("_n") > total / HOT_SHARE).select(*keys)
-    found = [tuple(r) for r in hot.collect()]  # at most HOT_SHARE rows
-    if not found:
+    found = hot.toArrow()  # at most HOT_SHARE rows
+    if not found.num_rows:
         return rows.join(table, keys)
+    # from Arrow, as a list of rows would start a second Python daemon and workers in each executor
     hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
     near = rows.join(F.broadcast(table.join(hot, keys, "left_semi")), keys)
     return near.unionByName(rows.join(hot, keys, "left_anti").join(table, keys))

@@ -259,6 +259,24 @@ def test_encoder_of_letters_and_generations(monkeypatch):
     assert len(encoder.young) + len(encoder.old) < 200
 
 
+def test_pieces_with_few_kept_words_in_small_parts(spark, frame, monkeypatch):
+    """Memory given to the encoder does not show in the pieces; the pipeline gives it less than packing alone."""
+    import corpus_pipeline
+
+    path = packing.default_tokenizer("word_bpe_49k.json")
+    encoder = packing._Encoder(path, kept_words=20)
+    for i in range(50):
+        encoder.encode([b"alpha beta word%d other%d" % (i, i)])
+    assert len(encoder.young) + len(encoder.old) < 60
+    docs = frame([*prose(30, 4), None, "", "x" * 300, prose(1, 4)[0]])
+    want = sorted(map(tuple, packing.token_pieces(docs, path, 64).collect()))
+    assert sorted(map(tuple, packing.token_pieces(docs, path, 64, kept_words=20, part_bytes=100).collect())) == want
+    asked, pieces = {}, packing.token_pieces
+    monkeypatch.setattr(packing, "token_pieces", lambda *a, **b: asked.update(b) or pieces(*a, **b))
+    corpus_pipeline.packed(spark, docs.select("doc_id", "text"), "")
+    assert asked["kept_words"] <= packing.KEPT_WORDS / 3 and asked["part_bytes"] <= packing.PART_BYTES / 4
+
+
 @pytest.mark.parametrize("scale, placed", [(1, 0.7), (10, 0.95), (100, 0.98)])
 def test_program_places_most_pieces(scale, placed):
     """The rounded program places nearly all pieces of a large table, and meets the dual bound."""
@@ -480,3 +498,11 @@ def test_lookup_of_hot_keys(spark, hot_rows):
     got = lookup(rows, table, ["a", "b"], hot_rows)
     assert sorted(map(tuple, got.select("id", "v").collect())) == sorted(map(tuple, rows.join(table, ["a", "b"]).select("id", "v").collect()))
     assert lookup(rows.limit(0), table, ["a", "b"], hot_rows).count() == 0
+
+
+def test_lookup_brings_hot_keys_back_without_python_workers(spark):
+    from listwarden.llm.skew import lookup
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) AS a")
+    plan = lookup(rows, spark.range(40).selectExpr("id AS a", "id * 10 AS v"), ["a"], 500)._jdf.queryExecution().toString()
+    assert "LocalRelation" in plan and "ExistingRDD" not in plan
